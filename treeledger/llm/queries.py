@@ -15,6 +15,24 @@ def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(read(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treeledger.llm.op5_language import languages
+
+    return languages(read(spark, sf_dir, "documents")).drop("spans")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treeledger.llm.op6_pii import personal
+
+    return personal(read(spark, sf_dir, "documents"), digests=True)
+
+
+def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treeledger.llm.op8_hilbert import shards
+
+    return shards(read(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treeledger.llm.op10_bpe import encode
 
@@ -23,6 +41,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license": op1_license,
+    "op5_language": op5_language,
+    "op6_pii": op6_pii,
+    "op8_hilbert": op8_hilbert,
     "op10_bpe": op10_bpe,
 }
 
