@@ -27,6 +27,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal(read(spark, sf_dir, "documents"), digests=True)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treeledger.llm.op7_jaccard import near
+
+    return near(read(spark, sf_dir, "documents"))
+
+
 def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treeledger.llm.op8_hilbert import shards
 
@@ -43,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license": op1_license,
     "op5_language": op5_language,
     "op6_pii": op6_pii,
+    "op7_jaccard": op7_jaccard,
     "op8_hilbert": op8_hilbert,
     "op10_bpe": op10_bpe,
 }
