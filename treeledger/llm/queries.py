@@ -15,6 +15,12 @@ def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(read(spark, sf_dir, "documents"))
 
 
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treeledger.llm.op3_hnsw import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treeledger.llm.op5_language import languages
 
@@ -39,6 +45,12 @@ def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(read(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treeledger.llm.op9_decontaminate import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treeledger.llm.op10_bpe import encode
 
@@ -47,10 +59,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license": op1_license,
+    "op3_hnsw": op3_hnsw,
     "op5_language": op5_language,
     "op6_pii": op6_pii,
     "op7_jaccard": op7_jaccard,
     "op8_hilbert": op8_hilbert,
+    "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
 }
 
