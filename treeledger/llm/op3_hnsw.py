@@ -27,7 +27,7 @@ K = 5
 SHARD_POINTS = 4_096
 LINKS = 12
 BUILD_WIDTH = 48
-SEARCH_WIDTH = 64
+SEARCH_WIDTH = 100
 QUERY_BLOCK = 256
 
 
@@ -41,7 +41,7 @@ class Graph:
         draw = (points.view(np.uint32).astype(np.uint64) * np.arange(1, 2 * points.shape[1], 2, dtype=np.uint64)).sum(1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         self.level = np.minimum(16, -np.log((((draw >> np.uint64(11)).astype(np.float64)) + 1) / (1 << 53)) / np.log(links)).astype(np.int64)
         top = int(self.level.max(initial=0))
-        self.layers = [np.full((n, 2 * links if h == 0 else links), -1, np.int32) for h in range(1)]
+        self.layers = [np.full((n, 2 * links), -1, np.int32)]
         self.upper: list[dict[int, np.ndarray]] = [{} for _ in range(top)]
         self.fill = np.zeros(n, np.int32)
         self.entry, self.height = -1, -1
@@ -139,7 +139,7 @@ class Graph:
         g.layers = [np.frombuffer(row["low"], np.int32).reshape(len(points), -1)]
         g.fill = np.frombuffer(row["fill"], np.int32)
         runs = np.frombuffer(row["runs"], np.int32).reshape(-1, 3)
-        g.upper = [{} for _ in range(int(runs[:, 0].max(initial=0)))]
+        g.upper = [{} for _ in range(row["height"])]
         if len(runs):
             cuts = np.flatnonzero(np.any(np.diff(runs[:, :2], axis=0, prepend=-1) != 0, axis=1)).tolist() + [len(runs)]
             for a, b in zip(cuts, cuts[1:], strict=False):

@@ -15,6 +15,12 @@ def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(read(spark, sf_dir, "documents"))
 
 
+def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treeledger.llm.op2_extract import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treeledger.llm.op3_hnsw import nearest
 
@@ -59,6 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license": op1_license,
+    "op2_extract": op2_extract,
     "op3_hnsw": op3_hnsw,
     "op5_language": op5_language,
     "op6_pii": op6_pii,
