@@ -27,6 +27,12 @@ def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treeledger.llm.op4_quality import quality
+
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treeledger.llm.op5_language import languages
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license": op1_license,
     "op2_extract": op2_extract,
     "op3_hnsw": op3_hnsw,
+    "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_pii": op6_pii,
     "op7_jaccard": op7_jaccard,
