@@ -240,3 +240,20 @@ def languages(docs: DataFrame, model: Model | None = None, penalty: float = PENA
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>")
+
+
+def in_known_languages(docs: DataFrame, model: Model | None = None, penalty: float = PENALTY, least: float = 0.3) -> DataFrame:
+    """docs without those that are ``und`` or have less than ``least`` of their letters in one language; a null lang gets the prediction."""
+    spark = prepare(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(model or fit(docs))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(shared.value.label([t or "" for t in batch.column(names.index("text")).to_pylist()], penalty))
+            lang = batch.column(names.index("lang"))
+            filled = pa.array([a if a is not None else r[0] for a, r in zip(lang.to_pylist(), rows, strict=True)], lang.type)
+            columns = [filled if n == "lang" else batch.column(i) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([r[0] != "und" and r[1] >= least for r in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

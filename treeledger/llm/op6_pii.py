@@ -241,3 +241,23 @@ def personal(docs: DataFrame, chooser: Selector | None = None, digests: bool = F
             yield pa.RecordBatch.from_pydict(out)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def without_personal(docs: DataFrame, chooser: Selector | None = None) -> DataFrame:
+    """docs with every span in text replaced by its kind, and n_chars to match; texts without spans stay as they are."""
+    spark = prepare(docs.sparkSession)
+    model = spark.sparkContext.broadcast(chooser or fit(docs))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column(names.index("text")).to_pylist()
+            base, more = spans_of([t or "" for t in given], model.value)
+            texts = [redact(t, [*b, *m]) if b or m else t for t, b, m in zip(given, base, more, strict=True)]
+            new = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in names:
+                old = batch.column(names.index("n_chars"))
+                new["n_chars"] = pa.array([len(t) if b or m else n for t, b, m, n in zip(texts, base, more, old.to_pylist(), strict=True)], old.type)
+            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(i)) for i, n in enumerate(names)], names=names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -293,3 +293,18 @@ def near(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRES
     rows = found.join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("component"))
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id; of rows that repeat an id one stays.
+
+    Only ids are joined: those to leave out are a written table, which Spark broadcasts if its size allows. Rows without doc_id can't be named and stay.
+    """
+    spark = prepare(docs.sparkSession)
+    scratch = Scratch(spark)
+    groups = scratch.table(near(docs, words, threshold).where("doc_id is not null"), "groups")
+    kept = docs.join(scratch.table(groups.where("doc_id <> component_id").select("doc_id").distinct(), "left-out"), "doc_id", "left_anti")
+    again = scratch.table(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if not again.isEmpty():
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(docs.columns)

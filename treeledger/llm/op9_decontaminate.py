@@ -221,12 +221,34 @@ def contaminated(docs: DataFrame, items: DataFrame, shard_items: int = SHARD_ITE
 
         return texts.mapInArrow(run, schema)
 
-    out, shard = [], []
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        shard.append((r[0], r[1]))
-        if len(shard) >= shard_items:
-            out.append(passes(shard))
-            shard = []
-    if shard or not out:
-        out.append(passes(shard))
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, [passes(s) for s in shards_of(rows, shard_items)])
+
+
+def shards_of(items: DataFrame, most: int) -> list[list[tuple[int, str]]]:
+    """The items in parts of at most ``most``, at least one part."""
+    out: list[list[tuple[int, str]]] = [[]]
+    for r in items.orderBy("item_id", "text").toLocalIterator():
+        if len(out[-1]) >= most:
+            out.append([])
+        out[-1].append((r[0], r[1]))
+    return out
+
+
+def without_items(docs: DataFrame, items: DataFrame, shard_items: int = SHARD_ITEMS, **options) -> DataFrame:
+    """docs that hold none of the items, in one pass for each shard of the benchmark and without a shuffle."""
+    spark = prepare(docs.sparkSession)
+    names = docs.columns
+
+    def clean(df: DataFrame, known: list[tuple[int, str]]) -> DataFrame:
+        index = spark.sparkContext.broadcast(Index(known, **options))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[f[0] for f in index.value.search(byte_rows(batch.column(names.index("text"))))]] = False
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return df.mapInArrow(run, docs.schema)
+
+    known = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    return reduce(clean, shards_of(known, shard_items), docs)
