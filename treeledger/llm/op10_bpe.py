@@ -29,10 +29,10 @@ from treeledger.llm.common import prepare
 #: Fixed by the vocabulary's format: how byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose encoding a worker remembers in each of two generations; the older is forgotten when the newer is full.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 120_000
 CACHE_PIECE_BYTES = 64
 #: Pairs of tokens whose test a worker remembers.
-CACHE_PAIRS = 500_000
+CACHE_PAIRS = 250_000
 
 
 def byte_letters() -> dict[str, int]:

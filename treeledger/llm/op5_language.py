@@ -28,7 +28,7 @@ BUCKETS = 1 << 15
 DOCS_PER_LANGUAGE = 2_000
 PENALTY = 12.0
 #: Words scored at once times languages.
-BLOCK_SCORES = 6_000_000
+BLOCK_SCORES = 2_000_000
 BLOCK_CHARS = 1 << 20
 
 #: Fixed by Unicode: first code points of the ranges by script, up to the next.
