@@ -1,0 +1 @@
+"""Plans over whole hierarchies: flatten, Merkle hashes, closures."""
