@@ -174,7 +174,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAM
             yield pa.RecordBatch.from_pydict({"x": pa.array(rows, pa.list_(pa.float64())), "y": pa.array(names, pa.bool_()), "o": pa.array(order, pa.int64())})
 
     rows = part.mapInArrow(run, "x array<double>, y boolean, o long").orderBy("o", "x", "y").limit(sample_spans).collect()
-    return Selector(np.array([r.x for r in rows], float).reshape(len(rows), -1), np.array([r.y for r in rows], bool))
+    if not rows:
+        return Selector(np.zeros((0, 1)), np.zeros(0, bool))
+    return Selector(np.array([r.x for r in rows], float), np.array([r.y for r in rows], bool))
 
 
 def spans_of(texts: list[str], chooser: Selector) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
