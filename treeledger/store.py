@@ -159,15 +159,26 @@ class Store:
         keep = {"commits": marked["commit"], "trees": marked["tree"], "blobs": marked["blob"], "tree_entries": marked["tree"].withColumnRenamed("hash", "tree_hash")}
         with self.locked():
             for name, marks in keep.items():
-                key = marks.columns[0]
-                self.table(name).join(marks, key, "left_semi").write.mode("overwrite").parquet(f"{self.path}/{name}.new")
+                self._write_new(name, self.table(name).join(marks, marks.columns[0], "left_semi"))
             for name in keep:
-                os.rename(f"{self.path}/{name}", f"{self.path}/{name}.old")
-                os.rename(f"{self.path}/{name}.new", f"{self.path}/{name}")
-                _remove(f"{self.path}/{name}.old")
-        self.spark.catalog.clearCache()
+                self._swap(name)
         return report
 
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """Put rows in place of a table."""
+        with self.locked():
+            self._write_new(name, rows)
+            self._swap(name)
+
+    def _write_new(self, name: str, rows: DataFrame) -> None:
+        rows.select(TABLES[name].names).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}.new")
+
+    def _swap(self, name: str) -> None:
+        os.rename(f"{self.path}/{name}", f"{self.path}/{name}.old")
+        os.rename(f"{self.path}/{name}.new", f"{self.path}/{name}")
+        _remove(f"{self.path}/{name}.old")
+        self.spark.catalog.refreshByPath(f"{self.path}/{name}")
+
     def fsck(self, verify_blobs: bool = False) -> DataFrame:
         return reach.fsck(self.table("commits"), self.table("tree_entries"), self.table("trees"), self.table("blobs"), self.refs().select("hash"), verify_blobs)
 
