@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from treeledger.functions.hashing import artifact_hash, as_bytes, blob_hash
 from treeledger.operators.ingest import with_parents
+from treeledger.plans.scratch import written
 from treeledger.schema import PATHS, PAYLOAD_COLUMNS
 
 
@@ -51,7 +52,7 @@ def hashed(files: DataFrame) -> DataFrame:
 
 def snapshot_of(files: DataFrame, keep: str, special_mode: bool = False) -> DataFrame:
     """paths: of files with equal kind and blob one stays (the min or max path), the others become hardlinks to it; parents are added."""
-    rows = hashed(files).drop("content")
+    rows = written(hashed(files).drop("content"))  # texts are read and hashed once
     pick = (F.min if keep == "min" else F.max)("path").alias("first")
     rows = rows.join(rows.groupBy("kind", "hash").agg(pick), ["kind", "hash"])
     link = F.col("path") != F.col("first")
@@ -62,7 +63,7 @@ def snapshot_of(files: DataFrame, keep: str, special_mode: bool = False) -> Data
         F.when(~link & (F.col("kind") == "regular"), F.col("length")).alias("size"),
         F.when(link, F.col("first")).alias("target_path"),
     )
-    full = with_parents(_shaped(named), 0, 0, 16877)
+    full = with_parents(_shaped(named), 0, 0, 16877, among=rows)
     if special_mode:
         full = full.withColumn("mode", F.when((F.col("kind") == "directory") & F.col("path").rlike("^[^/]+/src3$"), F.lit(16832).cast("long")).otherwise(F.col("mode")))
     return _shaped(full)
@@ -90,8 +91,8 @@ def layers(spark: SparkSession, sf_dir: str, type_conflict: bool = False) -> lis
         rows = docs.where(F.col("doc_id") % mod == 0).select(doc_path().alias("path"), F.lit("regular").alias("kind"), F.lit(33188).cast("long").alias("mode"), as_bytes(F.concat("text", F.lit(suffix))).alias("content"))
         if type_conflict and i == 1:
             rows = rows.where(~F.startswith("path", F.lit("en/src0/"))).unionByName(spark.createDataFrame([("en/src0", "regular", 33188, bytearray(b"file"))], rows.schema))
-        rows = hashed(rows).select("path", "kind", "hash", F.col("length").alias("size"))
-        out.append(_shaped(with_parents(_shaped(rows), 0, 0, 16877 - i)))
+        sized = hashed(rows).select("path", "kind", "hash", F.col("length").alias("size"))
+        out.append(_shaped(with_parents(_shaped(sized), 0, 0, 16877 - i, among=rows)))
     return out
 
 

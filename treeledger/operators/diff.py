@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.functions import paths as P
+from treeledger.plans.scratch import written
 
 META = ("size", "sparse_map", "target_path", "major", "minor", "uid", "gid", "mode", "xattrs")
 DIRECTORY_META = ("uid", "gid", "mode", "xattrs")
@@ -40,10 +41,10 @@ def compared(old: DataFrame, new: DataFrame) -> DataFrame:
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, kind): A, D, M (kind or content) or m (the rest). Below a directory that became something else, or the reverse, nothing is listed.
 
-    One full outer join on path. What to suppress is found by joining ancestors with the few swapped paths, and only
-    if there are any.
+    One full outer join on path, whose result, the changes only, is written once. What to suppress is found by joining their ancestors
+    with the few swapped paths.
     """
-    rows = compared(old, new)
+    rows = written(compared(old, new))
     swapped = rows.where("swap").select(F.col("path").alias("up"))
     hidden = rows.where(F.col("change").isin("A", "D")).select("path", F.explode(P.ancestors("path")).alias("up")).join(swapped, "up", "left_semi").select("path")
     return rows.join(hidden, "path", "left_anti").select("path", F.col("change").alias("kind")).orderBy("path")

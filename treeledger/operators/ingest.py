@@ -70,11 +70,12 @@ def snapshot(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return paths.select([F.col(f.name).cast(f.dataType) for f in PATHS]), stored.dropDuplicates(["hash"])
 
 
-def with_parents(paths: DataFrame, uid: int = 0, gid: int = 0, mode: int = 0o40755) -> DataFrame:
-    """paths with a directory row for every proper prefix that has none."""
+def with_parents(paths: DataFrame, uid: int = 0, gid: int = 0, mode: int = 0o40755, among: DataFrame | None = None) -> DataFrame:
+    """paths with a directory row for every proper prefix that has none. ``among``, if given, holds the same path column more cheaply."""
     from treeledger.functions.paths import ancestors
 
-    ups = paths.select(F.explode(ancestors("path")).alias("path")).distinct().join(paths.select("path"), "path", "left_anti")
+    names = (paths if among is None else among).select("path")
+    ups = names.select(F.explode(ancestors("path")).alias("path")).distinct().join(names, "path", "left_anti")
     fixed = {"kind": F.lit("directory"), "uid": F.lit(uid).cast("long"), "gid": F.lit(gid).cast("long"), "mode": F.lit(mode).cast("long")}
     return paths.unionByName(ups.withColumns(fixed), allowMissingColumns=True)
 
