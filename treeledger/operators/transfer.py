@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.errors import NotFastForward, RefNotFound
+from treeledger.errors import CorruptObject, NotFastForward, RefNotFound
+from treeledger.functions.hashing import commit_hash
 from treeledger.operators.history import is_ancestor
 from treeledger.operators.reach import mark
 from treeledger.operators.refs import HEADS, current
@@ -69,6 +70,9 @@ def _send(source, destination, name: str, head: DataFrame, dry_run: bool, set_re
         "trees": source.table("trees").join(want["tree"], "hash", "left_semi"),
         "commits": source.table("commits").join(want["commit"], "hash", "left_semi"),
     }
+    bad = rows["commits"].where(commit_hash() != F.col("hash")).select("hash").first()
+    if bad:
+        raise CorruptObject(bad[0])
     destination.append_all(rows)
     if set_ref:
         destination.write_ref(name, result["hash"])

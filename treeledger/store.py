@@ -6,14 +6,17 @@ import fcntl
 import json
 import os
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.errors import LockContention, NoRepo, RefNotFound, RemoteExists, RemoteNotFound, RepoExists
+from treeledger.errors import CorruptObject, LockContention, NoRepo, ObjectNotFound, RefNotFound, RemoteExists, RemoteNotFound, RepoExists
 from treeledger.functions import paths as P
+from treeledger.functions.hashing import artifact_hash
 from treeledger.operators import ingest, reach, refs
 from treeledger.operators.refs import HEADS
+from treeledger.operators.remap import inside_ids
 from treeledger.operators.history import truncated
 from treeledger.plans.merkle import flatten, merkle, tree_entries
 from treeledger.schema import PATHS, TABLES
@@ -30,7 +33,8 @@ class Store:
             raise NoRepo(path)
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str) -> Store:
+    def create(cls, spark: SparkSession, path: str, id_maps: DataFrame | None = None) -> Store:
+        """A new store; with id_maps, owners of committed files are translated to inside ids."""
         if os.path.exists(f"{path}/config.json"):
             raise RepoExists(path)
         os.makedirs(path, exist_ok=True)
@@ -38,7 +42,10 @@ class Store:
             spark.createDataFrame([], schema).write.parquet(f"{path}/{name}")
         with open(f"{path}/config.json", "w") as f:
             json.dump({"remotes": {}}, f)
-        return cls(spark, path)
+        store = cls(spark, path)
+        if id_maps is not None:
+            store.append("id_maps", id_maps)
+        return store
 
     @contextmanager
     def locked(self):
@@ -67,6 +74,32 @@ class Store:
             if name in tables:
                 self.append(name, tables[name])
 
+    def exists(self, name: str, hash_: str) -> bool:
+        """Whether a table of objects holds a hash."""
+        return not self.table(name).where(F.col("hash") == hash_).isEmpty()
+
+    def objects(self) -> DataFrame:
+        """(object_type, hash) of all that is stored."""
+        kinds = (("blob", "blobs"), ("tree", "trees"), ("commit", "commits"))
+        return reduce(DataFrame.unionByName, [self.table(t).select(F.lit(k).alias("object_type"), "hash") for k, t in kinds])
+
+    def write_artifact(self, path: str, tree: str, manifest_hash: str, output: str) -> str:
+        """Store an artifact and name it; equal artifacts are one object."""
+        row = self.spark.createDataFrame([(tree, manifest_hash, output)], "tree string, manifest_hash string, output string").withColumn("hash", artifact_hash())
+        self.append("artifacts", row)
+        hash_ = row.first()["hash"]
+        self.write_ref(path, hash_, refs.ARTIFACTS)
+        return hash_
+
+    def read_artifact(self, hash_: str) -> dict:
+        """An artifact whose content gives its hash."""
+        row = self.table("artifacts").where(F.col("hash") == hash_).withColumn("made", artifact_hash()).first()
+        if row is None:
+            raise ObjectNotFound(hash_)
+        if row["made"] != hash_:
+            raise CorruptObject(hash_)
+        return {k: row[k] for k in ("tree", "manifest_hash", "output")}
+
     # Refs
 
     def write_ref(self, name: str, hash_: str | None, namespace: str = HEADS) -> None:
@@ -100,7 +133,8 @@ class Store:
     def commit(self, files: DataFrame, ref: str, message: str = "", author: str = "unknown", timestamp: int = 0, metadata: dict[str, str] | None = None) -> str:
         """Store source files as a commit whose parent is the ref's present value."""
         refs.check_name(ref)
-        paths, blobs = ingest.snapshot(files)
+        maps = self.table("id_maps")
+        paths, blobs = ingest.snapshot(files if maps.isEmpty() else inside_ids(files, maps))
         self.append("blobs", blobs)
         old = self.refs().where(F.col("name") == ref).first()
         return self._commit_paths(paths, ref, [old["hash"]] if old else [], message, author, timestamp, metadata or {})
