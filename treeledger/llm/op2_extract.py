@@ -36,6 +36,8 @@ SUPPORT = 0.5
 MOST_TEXT = 0.6
 #: Words are dropped as part of the template only where a host has so many pages.
 FIXED_PAGES = 8
+#: Hosts whose counts a task holds before it passes them on.
+HELD_HOSTS = 2_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -162,23 +164,46 @@ class Page:
         return ((c, text) for c, text in self.blocks if inside[c])
 
 
-def tokens(html: str) -> Iterator[tuple[str, int, int, int]]:
-    """(token, times, first place, words held) of a page; words carry the path of their container."""
-    page = Page(html)
-    held = page.held()
-    first: dict[str, list[int]] = {}
-    for c, (token, _, place) in enumerate(page.containers):
-        got = first.setdefault(token, [0, place, 0])
-        got[0] += 1
-        got[2] += held[c]
-    for token, got in first.items():
-        yield token, *got
-    words: Counter = Counter()
-    for c, text in page.blocks:
-        path = page.containers[c][0]
-        words.update(f"{path} {w}" for w in text.split(" "))
-    for token, times in words.items():
-        yield token, times, 0, 0
+class HostCounts:
+    """Sums over the pages of one host in one partition.
+
+    Containers are counted in full. Words matter only in the class that occurs once in every page; a word that is missing from a page, or
+    comes twice in one, can't be in it and is dropped at once, so what is left of them shrinks with every page.
+    """
+
+    def __init__(self) -> None:
+        self.pages = 0
+        self.containers: dict[str, list[int]] = {}
+        self.words: set[str] = set()
+
+    def add(self, html: str) -> None:
+        page = Page(html)
+        held = page.held()
+        mark = int.from_bytes(hashlib.blake2b(html.encode("utf-8", "replace"), digest_size=5).digest(), "big")
+        first: dict[str, list[int]] = {}
+        for c, (token, _, place) in enumerate(page.containers):
+            got = first.setdefault(token, [0, place, 0])
+            got[0] += 1
+            got[2] += held[c]
+        for token, (times, place, words) in first.items():
+            got = self.containers.setdefault(token, [0, 0, 0, 0, 0])
+            got[0] += 1
+            got[1] += times
+            got[2] = (got[2] + times * mark) % (1 << 62)
+            got[3] += place
+            got[4] += words
+        if self.pages == 0 or self.words:
+            pairs = (f"{page.containers[c][0]} {w}" for c, text in page.blocks for w in text.split(" "))
+            times = Counter(pairs if self.pages == 0 else (p for p in pairs if p in self.words))
+            self.words = {p for p, n in times.items() if n == 1}
+        self.pages += 1
+
+    def rows(self) -> Iterator[tuple[str, int, int, int, int, int]]:
+        """(token, pages, times, vector, place, words)."""
+        for token, got in self.containers.items():
+            yield token, *got
+        for word in self.words:
+            yield word, self.pages, self.pages, 0, 0, 0
 
 
 def text_of(html: str, main: str | None, fixed: frozenset[str]) -> str:
@@ -203,23 +228,26 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, main, fixed): the main container of each host's template and the words that all its pages share."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts: dict[str, HostCounts] = {}
         for batch in batches:
-            sums: dict[tuple[str, str], list[int]] = {}
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mark = int.from_bytes(hashlib.blake2b(html.encode("utf-8", "replace"), digest_size=5).digest(), "big")
-                for token, times, place, words in tokens(html):
-                    got = sums.setdefault((host, token), [0, 0, 0, 0, 0])
-                    got[0] += 1
-                    got[1] += times
-                    got[2] = (got[2] + times * mark) % (1 << 62)
-                    got[3] += place
-                    got[4] += words
-            columns = {"host": pa.array([k[0] for k in sums], pa.string()), "token": pa.array([k[1] for k in sums], pa.string())}
-            yield pa.RecordBatch.from_pydict(columns | {n: pa.array([v[i] for v in sums.values()], pa.int64()) for i, n in enumerate(("pages", "times", "vector", "place", "words"))})
-
-    counted = pages.where("html is not null").select("host", "html").mapInArrow(count, "host string, token string, pages long, times long, vector long, place long, words long")
+                if host not in hosts:
+                    if len(hosts) >= HELD_HOSTS:
+                        yield table(hosts)
+                        hosts = {}
+                    hosts[host] = HostCounts()
+                hosts[host].add(html)
+        yield table(hosts)
+
+    def table(hosts: dict[str, HostCounts]) -> pa.RecordBatch:
+        rows = [(host, *row) for host, counts in hosts.items() for row in counts.rows()]
+        names = ("host", "token", "pages", "times", "vector", "place", "words")
+        return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.string() if i < 2 else pa.int64()) for i, n in enumerate(names)})
+
+    known = pages.where("html is not null")
+    counted = known.select("host", "html").mapInArrow(count, "host string, token string, pages long, times long, vector long, place long, words long")
     sums = counted.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "place", "words")), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"))
-    hosts = counted.where("token = ''").groupBy("host").agg(F.sum("pages").alias("all_pages"))
+    hosts = known.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
     often = sums.join(hosts, "host").where((F.col("all_pages") >= LEAST_PAGES) & (F.col("pages") >= SUPPORT * F.col("all_pages")))
     often = often.select("host", "token", "pages", "times", F.col("vector").cast("string").alias("vector"), "place", "words", "all_pages")
 
@@ -234,7 +262,7 @@ def templates(pages: DataFrame) -> DataFrame:
         whole = next((r["words"] for r in rows if r["token"] == ""), 0)
         frame = sorted((r for c in once for r in c if " " not in r["token"] and r["words"] >= MOST_TEXT * whole * r["pages"] / pages_all), key=lambda r: r["place"] / r["pages"])
         main = frame[-1]["token"] if frame and whole else None
-        fixed = sorted(r["token"] for c in once for r in c if r["pages"] == pages_all and " " in r["token"]) if pages_all >= FIXED_PAGES else []
+        fixed = sorted(r["token"] for c in once for r in c if r["pages"] == pages_all and " " in r["token"]) if pages_all >= FIXED_PAGES else []  # the class of one occurrence in every page
         return pa.table({"host": [key[0].as_py()], "main": pa.array([main], pa.string()), "fixed": pa.array([fixed], pa.list_(pa.string()))})
 
     return often.groupBy("host").applyInArrow(build, "host string, main string, fixed array<string>")
