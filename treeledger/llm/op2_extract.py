@@ -66,6 +66,7 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack, text = [(0, "")], []
+        opened: Counter = Counter()  # names on the stack
         aside = depth = 0  # the element that is set aside, and how deep its own name nests in it
         at, end = 0, len(html)
 
@@ -107,7 +108,7 @@ class Page:
                     continue
                 marks = {k.lower(): (a or b or c or "") for k, a, b, c in _NAMED.findall(m[3])} if m[3] else {}
                 words = {w for v in marks.values() for w in _PARTS.split(v.lower())}
-                inside = any(n in KEPT_TOP for _, n in stack)
+                inside = any(opened[n] for n in KEPT_TOP)
                 if (name in ASIDE or name == "header" and not inside or words & HINTS and name not in ("html", "body", "article", "main")) and not m[0].endswith("/>"):
                     self._open(stack, name, marks, m.start())
                     flush()
@@ -116,6 +117,7 @@ class Page:
                     continue
                 if name in CONTAINERS:
                     self._open(stack, name, marks, m.start())
+                    opened[name] += 1
             else:
                 if aside:
                     if name == aside:
@@ -126,9 +128,11 @@ class Page:
                     continue
                 if name in BLOCKS:
                     flush()
-                if name in CONTAINERS and any(n == name for _, n in stack):
-                    while stack.pop()[1] != name:
-                        pass
+                if name in CONTAINERS and opened[name]:
+                    last = ""
+                    while last != name:
+                        last = stack.pop()[1]
+                        opened[last] -= 1
         flush()
 
     def _open(self, stack: list[tuple[int, str]], name: str, marks: dict[str, str], place: int) -> None:
