@@ -11,6 +11,7 @@ gives an empty table; other columns are ignored; texts of any length are searche
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,35 +68,33 @@ class Notices:
             self.automaton.add_word(seed, (len(seed), places))
         self.automaton.make_automaton()
 
-    def windows(self, text: str) -> dict[int, list[list[int]]]:
-        """For each notice the stretches of text that can hold it, merged where they overlap."""
-        found: dict[int, list[list[int]]] = {}
+    def windows(self, text: str) -> dict[int, list[tuple[int, int]]]:
+        """For each notice the stretches of text that can hold it, none longer than the notice and its edits on either side."""
+        found: dict[int, set[tuple[int, int]]] = {}
         for end, (length, places) in self.automaton.iter(text):
             start = end + 1 - length
             for n, at in places:
                 _, notice, k = self.notices[n]
-                a, b = max(0, start - at - k), start - at + len(notice) + k
-                have = found.setdefault(n, [])
-                if have and a <= have[-1][1]:
-                    have[-1][1] = max(have[-1][1], b)
-                else:
-                    have.append([a, b])
-        return found
+                found.setdefault(n, set()).add((max(0, start - at - k), start - at + len(notice) + k))
+        return {n: sorted(w) for n, w in found.items()}
 
     def search(self, text: str) -> list[tuple[str, int, int, int]]:
         """(label, start, end, edits) in text, which must be words joined by single spaces."""
         out = []
         for n, windows in self.windows(text).items():
             label, notice, k = self.notices[n]
+            done = 0
             for a, b in windows:
-                while m := self.patterns[n].search(text, a, b):
+                a = max(a, done)
+                if b - a >= len(notice) - k and (m := self.patterns[n].search(text, a, b)):
                     out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    a = max(m.end(), a + 1)
-        kept: list[tuple[str, int, int, int]] = []
-        for hit in sorted(out, key=lambda x: (x[3], x[1] - x[2], x)):  # of notices at one place the closest stays
-            if all(hit[2] <= k[1] or k[2] <= hit[1] for k in kept):
-                kept.append(hit)
-        return sorted(kept, key=lambda x: x[1])
+                    done = m.end()
+        kept: list[tuple[int, int, str, int]] = []  # by start, never overlapping
+        for label, start, end, edits in sorted(out, key=lambda x: (x[3], x[1] - x[2], x)):  # of notices at one place the closest stays
+            at = bisect_left(kept, (start,))
+            if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+                kept.insert(at, (start, end, label, edits))
+        return [(label, start, end, edits) for start, end, label, edits in kept]
 
 
 def places(words: bytes, phrase: bytes) -> list[int]:
