@@ -291,7 +291,8 @@ def near(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRES
         labels = components(first.union(more), scratch, "all")
     scratch.drop("members", "sets", "pairs", "centre-links", "tile-links")
     rows = found.join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("component"))
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    # Written, so that the join below has exchanges of its own, which Spark can split at a hot component.
+    least = scratch.table(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
