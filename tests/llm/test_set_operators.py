@@ -91,6 +91,19 @@ def test_tiles_lose_no_link():
                 assert apart <= len(a) + len(b) - 2 * both
 
 
+def test_components_of_long_chains(spark):
+    """Chains of thousands of nodes with random ids: one label each, the smallest node."""
+    from treeledger.llm.common import Scratch
+    from treeledger.llm.components import components
+
+    rng = random.Random(14)
+    nodes = rng.sample(range(-(10**9), 10**9), 3200)
+    chains = [nodes[:3000], nodes[3000:]]
+    edges = [(a, b) if rng.random() < 0.5 else (b, a) for c in chains for a, b in zip(c, c[1:], strict=False)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+    assert got == {x: min(c) for c in chains for x in c}
+
+
 def test_neighbours(spark):
     from treeledger.llm.op3_hnsw import cosines, nearest
 
