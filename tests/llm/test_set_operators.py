@@ -91,6 +91,26 @@ def test_tiles_lose_no_link():
                 assert apart <= len(a) + len(b) - 2 * both
 
 
+def test_near_copies_stage_by_brute_force(spark):
+    """The pipeline's stage keeps one document of each component at similarity 0.8 over five-word shingles."""
+    import corpus_pipeline
+
+    rows = near_rows(random.Random(15))
+    sets, label = [], list(range(len(rows)))
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert any(100 * len(x & y) < 90 * len(x | y) for x, y in ((shingles(rows[i][1]), shingles(rows[j][1])) for i, j in linked))
+    for i, j in linked:
+        old, new = label[i], label[j]
+        label = [new if x == old else x for x in label]
+    want = {min(d for (d, _), x in zip(rows, label, strict=True) if x == c) for c in set(label)}
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    assert {r.doc_id for r in stage(spark, df, "").collect()} == want
+
+
 def test_components_of_long_chains(spark):
     """Chains of thousands of nodes with random ids: one label each, the smallest node."""
     from treeledger.llm.common import Scratch
