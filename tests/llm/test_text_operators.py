@@ -160,6 +160,27 @@ def test_personal_data(spark):
     assert [r.text for r in clean] == [d.text for d in docs]
 
 
+def test_generators_propose_whole_spans():
+    from treeledger.llm.op6_pii import _WORTH, KINDS, label, more_candidates
+
+    long = "".join(random.Random(3).choice("abcdefXYZ0123456789") for _ in range(240))
+    cases = [
+        ("token", "token = {}", long), ("token", "see {} there", "AbCdEfGhIjKlMnOpQrStUvWxYz"), ("key", "id {} end", "A1" * 30),
+        ("iban", "pay to {} now", "DE89 3704 0044 0532 0130 00"), ("iban", "pay to {} TODAY", "GB29 NWBK 6016 1331 9268 19"), ("iban", "{}", "NO93 8601 1117 947"), ("iban", "to {}.", "DE89370400440532013000"),
+        ("iban", "{} THE SUM", "ES91 2100 0418 4502 0005 1332"), ("iban", "{} ES91 2100 0418 4502 0005 1332", "ES91 2100 0418 4502 0005 1332"),
+        ("secret", "password: {}", "hunter2"), ("secret", "my password is {}.", "Tr0ub4dor&3"), ("secret", 'DB_PASSWORD="{}"', "correcthorse"), ("secret", "secret key: {}", "abcd"), ("secret", "Bearer {}", "abcDEF"),
+    ]
+    for kind, around, span in cases:
+        text = around.format(span)
+        k, a = KINDS.index(kind), text.index(span)
+        assert (k, a, a + len(span)) in more_candidates(text), text
+        assert _WORTH.search(text)
+        if kind in ("iban", "secret"):
+            assert label(text, k, a, a + len(span), None), text
+    assert not label("DE88 3704 0044 0532 0130 00", KINDS.index("iban"), 0, 27, None)
+    assert not label("the key is here", KINDS.index("secret"), 11, 15, None)
+
+
 def test_encoding(spark):
     tokenizers = pytest.importorskip("tokenizers")
     from treeledger.llm.op10_bpe import codec, encode, vocabulary

@@ -30,7 +30,7 @@ from treeledger.llm.boosting import BoostedTrees, platt, sigmoid
 from treeledger.llm.common import prepare
 
 #: In the order in which spans that start together are listed.
-KINDS = ("email", "ip", "card", "phone", "key", "token", "iban", "ssn", "local", "mac", "written")
+KINDS = ("email", "ip", "card", "phone", "key", "token", "iban", "ssn", "local", "mac", "written", "secret")
 BASE = 4
 SAMPLE_DOCS = 20_000
 SAMPLE_SPANS = 20_000
@@ -43,16 +43,20 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MORE = (
-    (4, re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,40}+(?![A-Za-z0-9])")),
-    (5, re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{24,200}+(?![A-Za-z0-9_/+=-])")),
-    (6, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?![A-Za-z0-9])")),
+    (4, re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9])")),
+    (5, re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{24,}+(?![A-Za-z0-9_/+=-])")),
     (7, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     (8, re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
     (9, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])")),
     (10, re.compile(r"(?<![A-Za-z0-9.])[A-Za-z0-9.]{1,64}+ ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]{1,64}+(?: ?[(\[](?:dot|DOT)[)\]] ?[A-Za-z0-9-]{1,64}+)+")),
 )
-#: A sign that a text can hold a span of the other kinds at all: a digit, or an address written out.
-_WORTH = re.compile(r"[0-9]|[(\[](?:at|AT)[)\]]")
+# Groups of four, of which the last may be partial; the country's length is not known, so ibans() looks for the end by the checksum.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# Whatever follows a word that names a secret; the value is looked ahead at, so that it can itself be such a word.
+_SECRET = re.compile(r"""(?i)(?:passw\w{0,16}|passphrase|passcode|pwd|secret|token|credential|bearer|(?<![a-z])(?:pass|pin|auth\w{0,16}|(?:\w{1,16}[_-]|api|access|private)?key))s?(?![a-z])["'`)\]]{0,2}(?:\s{0,4}(?:[:=]{1,2}>?|\bis\b)\s{0,4}|\s{1,4})["'`(\[]{0,2}(?=([^\s"'`<>,;]++))""")
+_ASSIGNED = re.compile(r"""[:=]>?\s{0,4}["'`(\[]{0,2}\Z""")
+#: A sign that a text can hold a span of the other kinds at all: a digit, an address written out, a word that names a secret, or a long run.
+_WORTH = re.compile(r"(?i)[0-9]|[(\[]at[)\]]|pass|pwd|pin|secret|token|credential|auth|bearer|key|[a-z_/+=-]{24}")
 _CUE = re.compile(r"(?i)(?:token|secret|passw\w*|key|api|auth\w*|bearer|ssn|iban|account|tel|phone|call|mac)\W{0,6}\Z")
 
 
@@ -92,13 +96,35 @@ def base_candidates(text: str) -> list[tuple[int, int, int, bool]]:
     return out
 
 
+def mod97(s: str) -> bool:
+    """Whether an account number without spaces has 15 to 34 characters and passes its checksum."""
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers, leftmost: each to the last group at which its checksum is right, or else to its end."""
+    out, m = [], _IBAN.search(text)
+    while m:
+        a, b = m.span()
+        ends = [b, *(i for i in range(b - 1, a, -1) if text[i] == " ")]
+        end = next((e for e in ends if mod97(text[a:e].replace(" ", ""))), b)
+        if len(text[a:end].replace(" ", "")) >= 15:
+            out.append((a, end))
+        m = _IBAN.search(text, end)
+    return out
+
+
 def more_candidates(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the kinds that the trees judge; they may overlap."""
     out = []
     for kind, pattern in _MORE:
         for m in pattern.finditer(text):
-            if kind not in (4, 5) or any(c.isdigit() for c in m[0]):
-                out.append((kind, *m.span()))
+            out.append((kind, *m.span()))
+    out += [(6, a, b) for a, b in ibans(text)]
+    for m in _SECRET.finditer(text):
+        value = m[1].rstrip(".:!?)]")
+        if value:
+            out.append((11, m.start(1), m.start(1) + len(value)))
     return out
 
 
@@ -117,15 +143,25 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         kind, n, digits, upper, lower, n - digits - upper - lower, len(counts), entropy, digits / n, switches / n, vowels / n,
         kind_of(left[-1:]), kind_of(right[:1]), sum(c.isdigit() for c in left), sum(c.isdigit() for c in right),
         float(left.rstrip(" \"'")[-1:] in (":", "=")), float(left[-1:] in "\"'" and left != ""), len(set(s.lower()) - set("0123456789abcdef")),
+        float(kind == 6 and mod97(s.replace(" ", ""))),
     ]
 
 
 def label(text: str, kind: int, start: int, end: int, good: bool | None) -> bool:
-    """The strict rule for training: the base rule, or a word before the span or a prefix that names a secret."""
+    """The strict rule for training: the base rule, a checksum, or a word before the span or a prefix that names a secret.
+
+    A value after such a word must be assigned to it or be of more than one class of characters, as words of a sentence are not.
+    """
     if good is not None:
         return good
     if kind == 10 or kind == 9:
         return True
+    if kind == 6 and mod97(text[start:end].replace(" ", "")):
+        return True
+    if kind == 11:
+        s = text[start:end]
+        classes = any(c.isdigit() for c in s) + any(c.isupper() for c in s[1:]) + any(c.islower() for c in s) + any(not c.isalnum() for c in s)
+        return len(s) > 3 and (classes > 1 or _ASSIGNED.search(text, max(0, start - 12), start) is not None)
     return bool(_CUE.search(text, max(0, start - 24), start) or text.startswith(("AKIA", "ASIA", "ghp_", "sk-"), start))
 
 
