@@ -160,6 +160,50 @@ def test_doubling_agrees_with_the_walk(spark, graph):
     assert rows(reachable(edges, starts)) == rows(_doubling(edges.select("child", "parent"), starts))
 
 
+def test_ancestry_of_every_ref_by_brute_force(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    from treeledger import fixtures
+    from treeledger.queries import LAST_SYNC, QUERIES
+
+    rng = random.Random(4)
+    events = [(i, rng.randrange(1, 26), datetime(2024, 1, 1) + timedelta(hours=4 * i), rng.choice(["view", "purchase"]), "{}") for i in range(180)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    rows = sorted(fixtures.commits(spark, str(tmp_path)).collect(), key=lambda r: (r.ts, r.event_id))
+    parents = {r.hash: r.parents for r in rows}
+
+    def reach(h):
+        seen, todo = set(), [h]
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += parents[x]
+        return seen
+
+    last, first, synced = {}, {}, {}
+    for r in rows:
+        last[r.user_id] = r.hash
+        first.setdefault(r.user_id, r.hash)
+        if r.ts < datetime.fromisoformat(LAST_SYNC):
+            synced[r.user_id] = r.hash
+    pairs = {(first[v], last[u]) for u in last for v in (u, u + 1) if v in first}
+    pairs |= {(b, a) for a, b in pairs}
+    want = {(old, new, old in reach(new)) for old, new in pairs}
+    assert {ok for *_, ok in want} == {True, False}
+    got = [tuple(r) for r in QUERIES["is_ancestor_all"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want)
+    if 11 in synced:
+        synced[11] = synced[2]
+    want = {f"users/{u}": u not in synced or synced[u] in reach(h) for u, h in last.items()}
+    assert set(want.values()) == {True, False} and len(want) > 20
+    assert {r.name: r.ok for r in QUERIES["fast_forward_all"](spark, str(tmp_path)).collect()} == want
+    # The queries that SQL checks are parts of these.
+    assert {tuple(r) for r in QUERIES["is_ancestor"](spark, str(tmp_path)).collect()} < set(got)
+    part = {r.name: r.ok for r in QUERIES["fast_forward"](spark, str(tmp_path)).collect()}
+    assert part == {n: ok for n, ok in want.items() if n[-1] in "13"}
+
+
 def test_fsck_gc_and_usage(spark, graph):
     entries = [("tm", "f", "regular", "B1"), ("tm", "d", "directory", "sub"), ("sub", "g", "regular", "B1"), ("sub", "h", "symlink", "B2"), ("tc1", "f", "regular", "B3")]
     entries = spark.createDataFrame(entries, "tree_hash string, name string, kind string, hash string")
