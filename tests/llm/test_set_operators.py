@@ -205,6 +205,22 @@ def test_extraction(spark):
     assert extract(df.limit(0)).collect() == []
 
 
+def test_names_set_aside_minor_containers_only():
+    from treeledger.llm.op2_extract import text_of
+
+    def got(html):
+        return text_of(html, None, frozenset())
+
+    body = "<p>one two three four five six seven eight nine ten</p>"
+    text = "one two three four five six seven eight nine ten"
+    assert got(f"<div class='content no-sidebar'>{body}</div>") == text
+    assert got(f"<div class='post has-comments'>{body}</div><div class='cookie-notice x'>We use cookies</div>") == text
+    assert got(f"<div id='search'>{body}</div>") == text
+    assert got(f"<article>{body}<p class='notice'>mind <span class='search'>the</span> gap</p><div class='comments'>me too</div></article>") == text + "\nmind the gap"
+    assert got("<div class='ad'>buy this</div><div class='ad'>buy that</div>") == "buy this\nbuy that"
+    assert got(f"<div class='ad'>buy this{body}") == "buy this\n" + text
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

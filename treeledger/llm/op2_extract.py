@@ -47,7 +47,8 @@ RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CONTAINERS = {"article", "aside", "body", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "head", "header", "html", "main", "menu", "nav", "noscript", "ol", "section", "table", "tbody", "template", "ul", "svg", "select", "button", "object", "math"}
 BLOCKS = CONTAINERS | {"address", "blockquote", "caption", "center", "dd", "details", "dt", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "legend", "li", "p", "pre", "summary", "tfoot", "thead", "tr"}
-#: Elements, and words in class, id or role, that mark what isn't the article.
+#: Elements, and names in class, id or role, that mark what isn't the article. A name of several parts counts if all are listed; a container
+#: is set aside by name only if it holds no more than half of the page's words, and what is article or main within it stays.
 ASIDE = {"aside", "button", "dialog", "fieldset", "footer", "form", "head", "math", "menu", "nav", "noscript", "object", "select", "svg", "template"}
 HINTS = {
     "ad", "ads", "adv", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "disqus", "footer", "form", "gdpr", "login", "menu", "modal", "nav",
@@ -62,7 +63,10 @@ class Page:
     def __init__(self, html: str):
         self.containers: list[tuple[str, int, int]] = [("", -1, 0)]
         self.blocks: list[tuple[int, str]] = []
+        self.hinted: set[int] = set()  # containers whose name speaks against them
         self._read(html)
+        if self.hinted:
+            self._set_aside()
 
     def _read(self, html: str) -> None:
         stack, text = [(0, "")], []
@@ -107,9 +111,8 @@ class Page:
                     text.append(" " if name == "br" else "")
                     continue
                 marks = {k.lower(): (a or b or c or "") for k, a, b, c in _NAMED.findall(m[3])} if m[3] else {}
-                words = {w for v in marks.values() for w in _PARTS.split(v.lower())}
                 inside = any(opened[n] for n in KEPT_TOP)
-                if (name in ASIDE or name == "header" and not inside or words & HINTS and name not in ("html", "body", "article", "main")) and not m[0].endswith("/>"):
+                if (name in ASIDE or name == "header" and not inside) and not m[0].endswith("/>"):
                     self._open(stack, name, marks, m.start())
                     flush()
                     stack.pop()
@@ -118,6 +121,8 @@ class Page:
                 if name in CONTAINERS:
                     self._open(stack, name, marks, m.start())
                     opened[name] += 1
+                    if name not in ("html", "body", "article", "main") and any(HINTS.issuperset(filter(None, _PARTS.split(w))) and _PARTS.sub("", w) for v in marks.values() for w in v.lower().split()):
+                        self.hinted.add(stack[-1][0])
             else:
                 if aside:
                     if name == aside:
@@ -143,6 +148,15 @@ class Page:
         self.containers.append((token, parent, place))
         stack.append((len(self.containers) - 1, name))
 
+    def _set_aside(self) -> None:
+        """Drop the blocks of containers that are named as no part of the article and hold a minor share; all stay if nothing else would."""
+        words = self.held()
+        gone = [False] * len(words)
+        for c in range(1, len(words)):
+            token, parent, _ = self.containers[c]
+            gone[c] = gone[parent] and token.rpartition(">")[2].split(".")[0] not in KEPT_TOP or c in self.hinted and 2 * words[c] <= words[0]
+        self.blocks = [b for b in self.blocks if not gone[b[0]]] or self.blocks
+
     def held(self) -> list[int]:
         """Words in each container and all within it."""
         words = [0] * len(self.containers)
