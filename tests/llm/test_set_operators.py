@@ -221,6 +221,27 @@ def test_names_set_aside_minor_containers_only():
     assert got(f"<div class='ad'>buy this{body}") == "buy this\n" + text
 
 
+def test_main_container_loses_no_text(spark):
+    """The same text on hosts of one, four and nine pages."""
+    from treeledger.llm.op2_extract import extract
+
+    rng = random.Random(16)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shapes = {
+        "article": lambda t: f"<article><h1>{t[0]}</h1><p>{t[1]}</p><div class='body'><p>{t[2]}</p></div></article>",
+        "halves": lambda t: f"<div class='page'><h1>{t[0]}</h1><div class='a'><p>{t[2]}</p></div><div class='b'><p>{t[1]}</p></div></div>",
+    }
+    pages, want = [], {}
+    for name, shape in shapes.items():
+        for n in (1, 4, 9):
+            for _ in range(n):
+                t = [line(3), line(14), line(40)]
+                want[len(pages)] = set(t)
+                pages.append((len(pages), f"http://{name}{n}.example/", f"<html><body><nav>{line(2)}</nav>" + ("<div class='top'>welcome to our pages</div>" if n == 9 else "") + shape(t) + "</body></html>"))
+    got = extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: set(r.text.split("\n")) for r in got} == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

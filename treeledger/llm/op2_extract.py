@@ -3,12 +3,12 @@
 A token is a tag or a word together with the path of containers around it. Tokens whose occurrence vectors over the
 pages of a host are equal (so many times in this page, so many in that) form a class; vectors are compared by sums of page hashes times
 counts, which add up over partitions, so a host with a third of all pages is aggregated like any other. Classes that occur once
-in each page, in enough pages, are the host's template; its containers nest. The main container is the deepest of them that holds most of the
-text outside menus, headers, footers, sidebars, notices, adverts, forms and comments. What it encloses, less the template's own
-words, are the slots that make up a page's text.
+in each page, in enough pages, are the host's template; its containers nest. The main container is the template's ``article`` or ``main``, else the
+deepest of them that holds all the text outside menus, headers, footers, sidebars, notices, adverts, forms and comments that
+isn't the template's own words. What it encloses, less the template's own words, are the slots that make up a page's text.
 
 A page of a host with few pages, or one that lacks the main container, is judged alone: its ``article`` or ``main``, else the deepest
-container with most of its text.
+container with all of its text.
 
 Cases: null or empty html has empty text; a null url belongs to the host ''; unclosed tags, comments and scripts end where the
 page ends; equal pages give equal text; ties between containers go to the one opened later; an empty table gives an empty
@@ -32,8 +32,6 @@ from treeledger.llm.common import Scratch, prepare
 #: A template needs so many pages of a host, and a token so large a share of them.
 LEAST_PAGES = 3
 SUPPORT = 0.5
-#: Share of a host's (or page's) text that the main container must hold.
-MOST_TEXT = 0.6
 #: Words are dropped as part of the template only where a host has so many pages.
 FIXED_PAGES = 8
 #: Hosts whose counts a task holds before it passes them on.
@@ -57,6 +55,11 @@ HINTS = {
 KEPT_TOP = {"article", "main"}
 
 
+def is_named(token: str) -> bool:
+    """Whether a container's token is that of an article or main."""
+    return token.rpartition(">")[2].split(".")[0] in KEPT_TOP
+
+
 class Page:
     """containers: (token, parent, place); blocks: (container, text) outside of what is set aside."""
 
@@ -154,7 +157,7 @@ class Page:
         gone = [False] * len(words)
         for c in range(1, len(words)):
             token, parent, _ = self.containers[c]
-            gone[c] = gone[parent] and token.rpartition(">")[2].split(".")[0] not in KEPT_TOP or c in self.hinted and 2 * words[c] <= words[0]
+            gone[c] = gone[parent] and not is_named(token) or c in self.hinted and 2 * words[c] <= words[0]
         self.blocks = [b for b in self.blocks if not gone[b[0]]] or self.blocks
 
     def held(self) -> list[int]:
@@ -169,10 +172,10 @@ class Page:
     def alone(self) -> int:
         """The main container, judged by this page only."""
         words = self.held()
-        named = [c for c, (token, _, _) in enumerate(self.containers) if token.rpartition(">")[2].split(".")[0] in KEPT_TOP and words[c]]
+        named = [c for c, (token, _, _) in enumerate(self.containers) if is_named(token) and words[c]]
         if named:
             return max(named, key=lambda c: (words[c], -c))
-        return max((c for c in range(len(words)) if words[c] >= MOST_TEXT * words[0]), default=0)
+        return max((c for c in range(len(words)) if words[c] == words[0]), default=0)
 
     def within(self, main: int) -> Iterator[tuple[int, str]]:
         """Blocks of a container and of all within it."""
@@ -200,28 +203,29 @@ class HostCounts:
         mark = int.from_bytes(hashlib.blake2b(html.encode("utf-8", "replace"), digest_size=5).digest(), "big")
         first: dict[str, list[int]] = {}
         for c, (token, _, place) in enumerate(page.containers):
-            got = first.setdefault(token, [0, place, 0])
+            got = first.setdefault(token, [0, place, 0])  # times, first place, words
             got[0] += 1
             got[2] += held[c]
         for token, (times, place, words) in first.items():
-            got = self.containers.setdefault(token, [0, 0, 0, 0, 0])
+            got = self.containers.setdefault(token, [0, 0, 0, 0, 0, 0])
             got[0] += 1
             got[1] += times
             got[2] = (got[2] + times * mark) % (1 << 62)
             got[3] += place
             got[4] += words
+            got[5] += held[0] - words
         if self.pages == 0 or self.words:
             pairs = (f"{page.containers[c][0]} {w}" for c, text in page.blocks for w in text.split(" "))
             times = Counter(pairs if self.pages == 0 else (p for p in pairs if p in self.words))
             self.words = {p for p, n in times.items() if n == 1}
         self.pages += 1
 
-    def rows(self) -> Iterator[tuple[str, int, int, int, int, int]]:
-        """(token, pages, times, vector, place, words)."""
+    def rows(self) -> Iterator[tuple[str, int, int, int, int, int, int]]:
+        """(token, pages, times, vector, place, words, words outside of it)."""
         for token, got in self.containers.items():
             yield token, *got
         for word in self.words:
-            yield word, self.pages, self.pages, 0, 0, 0
+            yield word, self.pages, self.pages, 0, 0, 0, 0
 
 
 def text_of(html: str, main: str | None, fixed: frozenset[str]) -> str:
@@ -259,15 +263,15 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def table(hosts: dict[str, HostCounts]) -> pa.RecordBatch:
         rows = [(host, *row) for host, counts in hosts.items() for row in counts.rows()]
-        names = ("host", "token", "pages", "times", "vector", "place", "words")
+        names = ("host", "token", "pages", "times", "vector", "place", "words", "outside")
         return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.string() if i < 2 else pa.int64()) for i, n in enumerate(names)})
 
     known = pages.where("html is not null")
-    counted = known.select("host", "html").mapInArrow(count, "host string, token string, pages long, times long, vector long, place long, words long")
-    sums = counted.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "place", "words")), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"))
+    counted = known.select("host", "html").mapInArrow(count, "host string, token string, pages long, times long, vector long, place long, words long, outside long")
+    sums = counted.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "place", "words", "outside")), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"))
     hosts = known.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
     often = sums.join(hosts, "host").where((F.col("all_pages") >= LEAST_PAGES) & (F.col("pages") >= SUPPORT * F.col("all_pages")))
-    often = often.select("host", "token", "pages", "times", F.col("vector").cast("string").alias("vector"), "place", "words", "all_pages")
+    often = often.select("host", "token", "pages", "times", F.col("vector").cast("string").alias("vector"), "place", "words", "outside", "all_pages")
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()  # no more than two pages' tokens: each is in half the pages
@@ -277,10 +281,18 @@ def templates(pages: DataFrame) -> DataFrame:
             classes.setdefault((r["pages"], r["times"], r["vector"]), []).append(r)
         # Valid: once in each page that has the class, and in order; its tokens nest by their paths.
         once = [c for (pages, times, _), c in classes.items() if pages == times]
-        whole = next((r["words"] for r in rows if r["token"] == ""), 0)
-        frame = sorted((r for c in once for r in c if " " not in r["token"] and r["words"] >= MOST_TEXT * whole * r["pages"] / pages_all), key=lambda r: r["place"] / r["pages"])
-        main = frame[-1]["token"] if frame and whole else None
         fixed = sorted(r["token"] for c in once for r in c if r["pages"] == pages_all and " " in r["token"]) if pages_all >= FIXED_PAGES else []  # the class of one occurrence in every page
+        own = Counter(token.partition(" ")[0] for token in fixed)  # the template's own words by their container
+        frame = sorted((r for c in once for r in c if " " not in r["token"] and r["words"]), key=lambda r: r["place"] / r["pages"])
+
+        def rest(r: dict) -> int:
+            """Words outside of a container that aren't the template's own."""
+            t = r["token"]
+            return r["outside"] - r["pages"] * sum(n for c, n in own.items() if c != t and not c.startswith(f"{t}>"))
+
+        named = [r for r in frame if is_named(r["token"])]
+        held = [r for r in frame if rest(r) <= 0]
+        main = max(named, key=lambda r: r["words"])["token"] if named else held[-1]["token"] if held else None
         return pa.table({"host": [key[0].as_py()], "main": pa.array([main], pa.string()), "fixed": pa.array([fixed], pa.list_(pa.string()))})
 
     return often.groupBy("host").applyInArrow(build, "host string, main string, fixed array<string>")
