@@ -180,6 +180,19 @@ def test_decontamination(spark):
     assert out == []
 
 
+def test_short_answers_hide_no_copy():
+    from treeledger.llm.op9_decontaminate import Index
+
+    question = " ".join(f"word{chr(97 + k)}" for k in range(25)) + "?"
+    around = "Before it all. {} And then some more."
+    for answer in ("Paris.", "In Paris.", "It is in Paris."):
+        found = Index([(1, f"{question} {answer}")])
+        for changed in (answer, answer.replace("Paris", "Rome"), answer[: -len("Paris.")]):
+            assert [i for _, i, _, _ in found.search([around.format(f"{question} {changed}").encode()])] == [1], (answer, changed)
+    found = Index([(1, f"{question} The answer to this one has many words of its own.")])
+    assert list(found.search([around.format(question).encode()])) == []
+
+
 def test_extraction(spark):
     from treeledger.llm.op2_extract import extract
 

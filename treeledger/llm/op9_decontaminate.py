@@ -5,7 +5,8 @@ its item's own score, so one threshold holds for all items. Items lie in blocks,
 index keeps the largest share of every term in every block. A passage's sum of block maxima bounds what any
 item of the block can reach; blocks below the threshold are skipped unread. In the others WAND goes on: terms in
 falling order of their bound, an item scored only while it can still get there. What reaches the threshold is
-verified: enough of the item's word shingles, of its question as well as its answer, must stand in the passage.
+verified: enough of the item's word shingles, of its question as well as its answer, must stand in the passage. One word changes up to
+``shingle`` shingles, so an answer of fewer shingles is no evidence by itself and the whole item decides.
 
 The index is broadcast in shards of at most ``shard_items`` items (a bound of a few tens of MB); more items take more
 passes over the texts, never a larger index.
@@ -143,12 +144,12 @@ class Index:
         return [i for i, s in scores.items() if s >= self.reach - 1e-6]
 
     def verified(self, item: int, words: np.ndarray) -> float:
-        """Share of the item's shingles in the passage, or 0 if the question or the answer isn't there."""
+        """Share of the item's shingles in the passage, or 0 if the question or an answer of so many shingles as a word can change isn't there."""
         k, question, answer, whole = self.shingles[item]
         have = grams(words, k)
         share = lambda s: float(np.isin(s, have).mean()) if len(s) else 1.0
         got = share(whole)
-        return got if got >= self.similarity and share(question) >= self.similarity and share(answer) >= self.similarity else 0.0
+        return got if got >= self.similarity and share(question) >= self.similarity and (len(answer) < k or share(answer) >= self.similarity) else 0.0
 
     def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, float, int]]:
         """(row, item id, share, first word of the passage): for each text and item the best passage."""
