@@ -190,9 +190,10 @@ def test_encoding(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice("abcd  \n\t\r'sé🙂日本<|endoftext|>0123!?$*&") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     texts += ["<|endoftext|>", "a<|endoftext|>b  <|endoftext|>", "", "a" * 5000, " " * 3000, "$$$ *** $$$$", "ab" * 999, "don't we'll", "\x85 x"]
-    for t, want in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
-        ids, decimal = ours.encode(t)
-        assert ids.tolist() == want.ids and decimal.decode() == ",".join(map(str, want.ids))
+    texts += ["".join(map(chr, rng.choices(range(256), k=80))) for _ in range(500)] + ["".join(rng.choices("abcxyz01", k=n)) for n in (255, 256, 257, 4000)]
+    for t, ids, want in zip(texts, ours.encode(texts), theirs.encode_batch(texts, add_special_tokens=False), strict=True):
+        ids = ids.tolist()
+        assert ids == want.ids and ours.decimals(ids).decode() == ",".join(map(str, want.ids))
         assert ours.decode(ids).decode() == theirs.decode(want.ids, skip_special_tokens=False) == t
     docs, rows = fails_nowhere(spark, lambda d: encode(d, digests=True))
     for d, r in zip(docs, rows, strict=True):
