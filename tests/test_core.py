@@ -11,7 +11,7 @@ from treeledger import errors as E
 from treeledger.functions.hashing import artifact_hash, blob_hash, symlink_hash
 from treeledger.functions.text import entry_name_ok, glob_regex, human_size, permissions, policy, ref_name_ok
 from treeledger.operators import checkout, diff, history, ingest, listing, reach, refs, remap, transfer, union, usage
-from treeledger.plans.closure import _doubling, edges_of, reachable
+from treeledger.plans.closure import edges_of, reachable
 from treeledger.plans.merkle import flatten, merkle, tree_entries
 from treeledger.schema import PATHS, SOURCE_FILES
 from treeledger.sources.directory import id_map_rows, read_folder
@@ -154,10 +154,20 @@ def test_history(spark, graph):
 
 
 def test_doubling_agrees_with_the_walk(spark, graph):
-    starts = spark.createDataFrame([("r", "m"), ("s", "c2")], "root string, node string")
-    edges = edges_of(graph)
-    rows = lambda df: {tuple(r) for r in df.collect()}
-    assert rows(reachable(edges, starts)) == rows(_doubling(edges.select("child", "parent"), starts))
+    starts = spark.createDataFrame([("r", "m"), ("s", "c2"), ("s", "gone")], "root string, node string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(reachable(edges_of(graph), starts)) == rows(reachable(edges_of(graph), starts, sent_edges=0))
+    pairs = graph.select(F.col("hash").alias("new")).crossJoin(graph.select(F.col("hash").alias("old")))
+    assert rows(history.is_ancestor(graph, pairs)) == rows(history.is_ancestor(graph, pairs, sent_edges=0))
+
+
+def test_doubling_of_a_long_chain_and_a_circle(spark):
+    """A chain's rounds follow the logarithm of its length; a circle, which no sound history has, ends too."""
+    chain = spark.range(3000).select(F.col("id").cast("string").alias("child"), (F.col("id") + 1).cast("string").alias("parent"))
+    circle = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "child string, parent string")
+    starts = spark.createDataFrame([("r", "10"), ("s", "a")], "root string, node string")
+    got = reachable(chain.union(circle), starts, sent_edges=0).groupBy("root").count().collect()
+    assert {r[0]: r[1] for r in got} == {"r": 2991, "s": 3}
 
 
 def test_ancestry_of_every_ref_by_brute_force(spark, tmp_path):

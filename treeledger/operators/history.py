@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from treeledger.errors import MetadataKeyNotFound, ObjectNotFound
 from treeledger.functions.hashing import commit_hash, short
 from treeledger.functions.text import log_text
-from treeledger.plans.closure import edges_of, reachable
+from treeledger.plans.closure import SENT_EDGES, edges_of, reachable, tested
 
 
 def is_root() -> Column:
@@ -19,9 +19,9 @@ def is_merge() -> Column:
     return F.size("parents") > 1
 
 
-def ancestors(commits: DataFrame, heads: DataFrame) -> DataFrame:
+def ancestors(commits: DataFrame, heads: DataFrame, sent_edges: int = SENT_EDGES) -> DataFrame:
     """(root, node) for heads (root, node): all commits reachable through parents, heads included."""
-    return reachable(edges_of(commits), heads)
+    return reachable(edges_of(commits), heads, sent_edges)
 
 
 def log(commits: DataFrame, head: str, limit: int | None = None) -> DataFrame:
@@ -39,13 +39,12 @@ def log_lines(commits: DataFrame) -> DataFrame:
     return commits.select("hash", log_text().alias("text"))
 
 
-def is_ancestor(commits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (old, new) with ok: whether old can be reached from new. A commit is its own ancestor; commits that can't be read lead nowhere."""
-    stored = commits.select(F.col("hash").alias("node"))
-    reach = ancestors(commits, pairs.select(F.col("new").alias("root"), F.col("new").alias("node"))).join(stored, "node", "left_semi")
-    reach = reach.unionByName(pairs.select(F.col("new").alias("root"), F.col("new").alias("node"))).distinct()
-    hit = reach.select(F.col("root").alias("new"), F.col("node").alias("old"), F.lit(True).alias("hit"))
-    return pairs.join(hit, ["old", "new"], "left").select("old", "new", F.coalesce("hit", F.lit(False)).alias("ok"))
+def is_ancestor(commits: DataFrame, pairs: DataFrame, sent_edges: int = SENT_EDGES) -> DataFrame:
+    """pairs (old, new) with ok: whether old can be reached from new. A commit is its own ancestor; commits that can't be read are no one else's."""
+    stored = commits.select(F.col("hash").alias("old"), F.lit(True).alias("stored")).distinct()
+    answer = tested(edges_of(commits), pairs, sent_edges).join(stored, "old", "left")
+    ok = F.col("ok") & (F.col("stored").isNotNull() | (F.col("old") == F.col("new")))
+    return pairs.join(answer.select("old", "new", ok.alias("ok")), ["old", "new"], "left").select("old", "new", F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
 def truncated(commits: DataFrame, refs: DataFrame) -> DataFrame:

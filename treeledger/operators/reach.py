@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from treeledger.errors import ObjectNotFound
 from treeledger.functions.hashing import commit_hash
 from treeledger.operators.history import ancestors
+from treeledger.plans.closure import SENT_EDGES
 from treeledger.plans.merkle import tree_hashes
 from treeledger.plans.scratch import written
 from treeledger.schema import EMPTY_TREE
 
 
-def marked_commits(commits: DataFrame, heads: DataFrame) -> DataFrame:
+def marked_commits(commits: DataFrame, heads: DataFrame, sent_edges: int = SENT_EDGES) -> DataFrame:
     """(hash) of commits that heads (hash) lead to, missing ones too."""
     starts = heads.select(F.lit(0).alias("root"), F.col("hash").alias("node")).distinct()
-    return ancestors(commits, starts).select(F.col("node").alias("hash")).distinct()
+    return ancestors(commits, starts, sent_edges).select(F.col("node").alias("hash")).distinct()
 
 
 def marked_trees(commits: DataFrame, entries: DataFrame, marked: DataFrame) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.plans.scratch import written
+from treeledger.plans.scratch import Scratch
+from treeledger.plans.workers import prepare
 
-#: Below so many edges the walk is done on the driver; commits are small metadata.
-DRIVER_EDGES = 200_000
-#: And the rows that a walk returns, roots times edges, must stay below this.
-DRIVER_ROWS = 1_000_000
+#: A graph of at most so many edges is sent to the executors, which walk it from their own roots: two hashes of 64 letters an edge, 26 MB.
+SENT_EDGES = 200_000
 
 
 def edges_of(commits: DataFrame) -> DataFrame:
@@ -18,55 +21,132 @@ def edges_of(commits: DataFrame) -> DataFrame:
     return commits.select(F.col("hash").alias("child"), F.posexplode("parents").alias("ord", "parent"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+class Graph:
+    """A small graph in flat arrays: the parents of node i are parents[first[i]:first[i + 1]]."""
+
+    def __init__(self, child: pa.Array, parent: pa.Array):
+        both = pa.concat_arrays([child, parent]).dictionary_encode()
+        self.names = both.dictionary
+        ids = both.indices.to_numpy()
+        child_ids, parent_ids = ids[: len(child)], ids[len(child) :]
+        order = np.argsort(child_ids, kind="stable")
+        self.parents = parent_ids[order]
+        self.first = np.searchsorted(child_ids[order], np.arange(len(self.names) + 1))
+        self._at: dict[str, int] | None = None
+
+    def id(self, name: str) -> int:
+        """The node of a hash, -1 if it has no edge."""
+        if self._at is None:
+            self._at = {n: i for i, n in enumerate(self.names.to_pylist())}
+        return self._at.get(name, -1)
+
+    def reach(self, starts: list[int]) -> np.ndarray:
+        """Whether each node can be reached; a level at a time."""
+        seen = np.zeros(len(self.names), bool)
+        front = np.unique(np.array(starts, np.int64))
+        while len(front):
+            seen[front] = True
+            count = self.first[front + 1] - self.first[front]
+            at = np.repeat(self.first[front] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            front = np.unique(self.parents[at])
+            front = front[~seen[front]]
+        return seen
+
+
+def _small(pairs: DataFrame, limit: int) -> Graph | None:
+    """The graph if it has few edges; they are counted before any is fetched."""
+    if pairs.count() > limit:
+        return None
+    prepare(pairs.sparkSession)
+    got = pairs.toArrow()
+    return Graph(*(pa.concat_arrays([pa.array([], pa.string()), *(x.cast(pa.string()) for x in got[c].chunks)]) for c in ("child", "parent")))
+
+
+def reachable(edges: DataFrame, starts: DataFrame, sent_edges: int = SENT_EDGES) -> DataFrame:
     """(root, node): every node reachable from the nodes of starts (root, node), themselves included.
 
-    Few edges, counted first, are walked on the driver for each root. More are closed by doubling: the reach grows by the jump relation and
-    the jump by itself, so the rounds follow the logarithm of the longest path, and no path is followed twice.
+    A graph of few edges, counted first, is sent to the executors; each walks it for its roots. A larger one is closed by doubling.
     """
-    spark = edges.sparkSession
-    pairs = edges.select("child", "parent").distinct()
-    few = pairs.limit(driver_edges + 1).collect()
+    scratch = Scratch(edges.sparkSession)
+    pairs = scratch.table(edges.select("child", "parent").distinct(), "pairs")
     roots = starts.select("root", "node").distinct()
-    if len(few) <= driver_edges:
-        some = roots.limit(driver_edges + 1).collect()
-        # What a walk can return at most is bounded too.
-        if len({r[0] for r in some}) * max(1, len(few)) <= DRIVER_ROWS and len(some) <= driver_edges:
-            return _walk(spark, few, some, starts)
-    return _doubling(pairs, roots)
-
-
-def _walk(spark, edges, starts, shape: DataFrame) -> DataFrame:
-    after: dict = {}
-    for child, parent in edges:
-        after.setdefault(child, []).append(parent)
-    by_root: dict = {}
-    for root, node in starts:
-        by_root.setdefault(root, set()).add(node)
-
-    def rows():
-        for root, first in by_root.items():
-            seen, todo = set(first), list(first)
-            while todo:
-                for parent in after.get(todo.pop(), ()):
-                    if parent not in seen:
-                        seen.add(parent)
-                        todo.append(parent)
-            for node in seen:
-                yield root, node
-
-    return spark.createDataFrame(list(rows()), shape.select("root", "node").schema)
-
-
-def _doubling(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    reach, jump = written(roots), written(pairs.select(F.col("child").alias("x"), F.col("parent").alias("y")))
-    size = reach.count()
-    while True:
+    graph = _small(pairs, sent_edges)
+    if graph is None:
+        return _doubled(pairs, roots, scratch)
+    scratch.drop("pairs")
+    shared = edges.sparkSession.sparkContext.broadcast(graph)
+    kind = roots.schema["root"].dataType
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, root, ids = shared.value, None, []
+        names = ["root", "node"]
+        for batch in batches:
+            alone: list[int] = []
+            for i, (r, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if ids and r != root:
+                    yield found(g, root, ids, batch.schema)
+                    ids = []
+                root, at = r, g.id(node)
+                if at < 0:
+                    alone.append(i)
+                else:
+                    ids.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(alone, pa.int64())) for k in (0, 1)], names=names)
+            schema = batch.schema
+        if ids:
+            yield found(g, root, ids, schema)
+
+    def found(g: Graph, root, ids: list[int], schema: pa.Schema) -> pa.RecordBatch:
+        at = np.flatnonzero(g.reach(ids))
+        return pa.RecordBatch.from_arrays([pa.array([root] * len(at), schema.field(0).type), g.names.take(pa.array(at)).cast(schema.field(1).type)], names=["root", "node"])
+
+    return roots.repartition("root").sortWithinPartitions("root").mapInArrow(walk, f"root {kind.simpleString()}, node string")
+
+
+def tested(edges: DataFrame, pairs: DataFrame, sent_edges: int = SENT_EDGES) -> DataFrame:
+    """pairs (old, new) with ok: whether old can be reached from new. No more than the pairs is ever made of a graph that can be sent.
+
+    Pairs are dealt by range, so one ``new`` with very many ``old`` is cut over tasks.
+    """
+    asked = pairs.select("old", "new").distinct()
+    known = Scratch(edges.sparkSession)
+    small = _small(known.table(edges.select("child", "parent").distinct(), "pairs"), sent_edges)
+    known.clear()
+    if small is None:
+        reach = reachable(edges, asked.select(F.col("new").alias("root"), F.col("new").alias("node")).distinct(), -1)
+        hit = reach.select(F.col("root").alias("new"), F.col("node").alias("old"), F.lit(True).alias("hit"))
+        return asked.join(hit, ["old", "new"], "left").select("old", "new", F.coalesce("hit", F.lit(False)).alias("ok"))
+    shared = edges.sparkSession.sparkContext.broadcast(small)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, last, seen = shared.value, None, None
+        for batch in batches:
+            ok = []
+            for old, new in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if new != last or seen is None:
+                    last, at = new, g.id(new)
+                    seen = g.reach([at] if at >= 0 else [])
+                ok.append(old == new or (at := g.id(old)) >= 0 and bool(seen[at]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["old", "new", "ok"])
+
+    return asked.repartitionByRange("new", "old").sortWithinPartitions("new", "old").mapInArrow(walk, "old string, new string, ok boolean")
+
+
+def _doubled(pairs: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """Reach by steps of 1, 2, 4 ... edges.
+
+    ``jump`` holds the pairs that are exactly 2^k edges apart and nothing nearer, so a chain costs its length a round; as every distance is a
+    sum of such steps, reach is whole when no pair is so far apart. No path without a circle is longer than there are edges.
+    """
+    jump, reach = pairs.select(F.col("child").alias("x"), F.col("parent").alias("y")), roots
+    step, most, k = 1, pairs.count(), 0
+    while step <= most:
         further = reach.join(jump, reach["node"] == jump["x"]).select("root", F.col("y").alias("node"))
-        reach = written(reach.union(further).distinct())
-        now = reach.count()
-        if now == size:
-            return reach
-        size = now
+        reach = scratch.table(reach.union(further).distinct(), f"reach-{k}")
         second = jump.select(F.col("x").alias("y"), F.col("y").alias("z"))
-        jump = written(jump.union(jump.join(second, "y").select("x", F.col("z").alias("y"))).distinct())
+        jump = scratch.table(jump.join(second, "y").select("x", F.col("z").alias("y")).distinct(), f"jump-{k}")
+        scratch.clear(f"reach-{k}", f"jump-{k}")
+        if jump.isEmpty():
+            break
+        step, k = 2 * step, k + 1
+    return reach

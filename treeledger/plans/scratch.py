@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -19,9 +20,39 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+class Scratch:
+    """Tables of one job, so that lineage ends there: a lost executor costs nothing that was written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.base = f"{folder(spark)}/treeledger-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df and read it back."""
+        path = f"{self.base}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def release(self) -> None:
+        """Let go of shuffle files that nothing needs any more: Spark removes them when the driver collects its garbage, which it seldom does by itself."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def clear(self, *kept: str) -> None:
+        """Remove all tables but those named."""
+        self.drop(*(self.names - set(kept)))
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df, written once and read back, so that a loop's plan stays short and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df, written once and read back, so that a loop's plan stays short."""
+    return Scratch(df.sparkSession).table(df, "loop")
