@@ -322,3 +322,80 @@ def test_streaming_commits(spark, tmp_path):
     stream = spark.readStream.schema(SOURCE_FILES).parquet(str(tmp_path / "in"))
     commit_each_batch(stream, store, "live", str(tmp_path / "cp")).awaitTermination(120)
     assert [r.path for r in store.paths("live").collect()] == ["f"]
+
+
+def test_checkout_restores_attributes_holes_and_locked_folders(spark, tmp_path):
+    """Extended attributes, files of holes, sockets and directories without write permission come back; names that lead out raise."""
+    from treeledger.sources.directory import row
+
+    src, out = tmp_path / "src", tmp_path / "out"
+    (src / "closed/in").mkdir(parents=True)
+    (src / "closed/in/f").write_text("inside")
+    with open(src / "holes", "wb") as f:
+        f.seek(1 << 20)
+        f.write(b"end")
+        f.truncate(3 << 20)
+    try:
+        os.setxattr(src / "closed/in/f", "user.note", b"kept")
+        noted = True
+    except OSError:
+        noted = False
+    os.mknod(src / "sock", 0o140600)
+    os.chmod(src / "closed/in", 0o500)
+    os.chmod(src / "closed", 0o555)
+    store = Store.create(spark, str(tmp_path / "r"))
+    store.commit(read_folder(spark, str(src)), "main")
+    checkout.write(checkout.manifest(store.paths("main"), store.table("blobs")), str(out))
+    assert (out / "closed/in/f").read_text() == "inside" and (out / "closed").stat().st_mode & 0o777 == 0o555 and (out / "closed/in").stat().st_mode & 0o777 == 0o500
+    assert (out / "holes").read_bytes() == (src / "holes").read_bytes() and row(str(out), "sock")[1] == "socket"
+    assert not noted or os.getxattr(out / "closed/in/f", "user.note") == b"kept"
+    assert reach.is_ok(store.fsck(verify_blobs=True))
+    counts = reach.fsck_counts(store.fsck(), store.table("commits"), store.table("trees"), store.table("blobs")).first().asDict()
+    assert counts["objects_checked"] == 1 + store.table("trees").count() + store.table("blobs").count() and counts["missing"] == 0
+    for bad in ("../x", "/etc/x", "a//b", "a/./b"):
+        with pytest.raises(E.InvalidEntryName):
+            checkout.manifest(paths(spark, [(bad, "regular", "h")]), store.table("blobs"))
+
+
+def test_union_checkout_meets_what_is_there(spark, tmp_path):
+    def committed(name, **files):
+        src = tmp_path / name
+        src.mkdir()
+        for k, v in files.items():
+            (src / k).write_text(v)
+        store.commit(read_folder(spark, str(src)), name)
+        return store.paths(name)
+
+    store = Store.create(spark, str(tmp_path / "r"))
+    layers = [committed("one", f="1", g="1"), committed("two", h="2")]
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / "f").write_text("mine")
+    lay = lambda how: checkout.union_write(layers, store.table("blobs"), str(out), how, force=True)
+    with pytest.raises(E.UnionConflict):
+        lay("error")
+    assert not (out / "h").exists()
+    lay("first")
+    assert (out / "f").read_text() == "mine" and (out / "h").read_text() == "2"
+    lay("last")
+    assert (out / "f").read_text() == "1"
+    (out / "g").unlink()
+    (out / "g").mkdir()
+    with pytest.raises(E.UnionTypeConflict):
+        lay("last")
+
+
+def test_collection_keeps_names_and_rewrites_together(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    store = Store.create(spark, str(tmp_path / "r"))
+    for i in range(2):
+        (src / "f").write_text(f"version {i}")
+        store.commit(read_folder(spark, str(src)), f"b{i}")
+    store.delete_ref("b0")
+    with pytest.raises(E.RefNotFound):
+        store.delete_ref("b0")
+    assert {r.object_type: r.removed for r in store.gc(dry_run=False).collect()} == {"blob": 1, "commit": 1, "tree": 1}
+    assert store.table("commits").count() == 1 and reach.is_ok(store.fsck()) and store.gc().agg(F.sum("removed")).first()[0] == 0
+    store.commit(read_folder(spark, str(src)), "b2")
+    assert store.refs().count() == 2 and reach.is_ok(store.fsck(verify_blobs=True))

@@ -28,7 +28,7 @@ def test_artifacts_ids_and_lock(spark, tmp_path):
     assert {r.object_type for r in store.objects().collect()} == {"blob", "tree", "commit"}
     with pytest.raises(E.UnmappedUid):
         store.commit(files(5), "main")
-    with store.locked(), pytest.raises(E.LockContention):
+    with Store(spark, str(tmp_path / "s")).locked(), pytest.raises(E.LockContention):
         store.write_ref("x", "0" * 64)
     with pytest.raises(E.InvalidRef):
         store.write_ref("a//b", "0" * 64)

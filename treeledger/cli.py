@@ -104,7 +104,7 @@ def _union(spark, store, a):
 
 def _union_checkout(spark, store, a):
     layers = [store.paths(r) for r in a.refs.split(",")]
-    checkout.write(checkout.union_manifest(layers, store.table("blobs"), a.on_conflict), a.target, a.force)
+    checkout.union_write(layers, store.table("blobs"), a.target, a.on_conflict, a.force)
 
 
 def _fsck(spark, store, a):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -189,9 +187,3 @@ def inodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     ino = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 40).otherwise(F.col("doc_id") + 1000)
     return docs.select(doc_path().alias("path"), F.lit("regular").alias("file_type"), F.lit(1).cast("long").alias("dev"), ino.cast("long").alias("ino"), F.when(F.col("doc_id") % 3 == 0, F.lit(2)).otherwise(F.lit(1)).cast("long").alias("nlink"))
-
-
-def all_hashes(dfs: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [d.select("hash") for d in dfs]).distinct()
-
-

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.errors import ObjectNotFound
-from treeledger.functions.hashing import commit_hash
+from treeledger.functions.hashing import blob_hash, commit_hash
 from treeledger.operators.history import ancestors
 from treeledger.plans.closure import SENT_EDGES
 from treeledger.plans.merkle import tree_hashes
@@ -89,12 +89,19 @@ def fsck(commits: DataFrame, entries: DataFrame, trees: DataFrame, blobs: DataFr
     for kind in stored:
         out = out.unionByName(row(stored[kind].join(marked[kind], "hash", "left_anti"), "dangling", kind))
     if verify_blobs:
-        from treeledger.functions.hashing import blob_hash
-
-        out = out.unionByName(row(blobs.where(blob_hash("uid", "gid", "mode", "content") != F.col("hash")), "corrupt", "blob"))
+        # Attributes are part of a blob's hash and kept by its entries, all with the same ones.
+        more = entries.where("kind in ('regular', 'symlink')").groupBy("hash").agg(F.first("xattrs").alias("xattrs"))
+        out = out.unionByName(row(blobs.join(more, "hash", "left").where(blob_hash("uid", "gid", "mode", "content", "xattrs") != F.col("hash")), "corrupt", "blob"))
     return out
 
 
+def fsck_counts(report: DataFrame, commits: DataFrame, trees: DataFrame, blobs: DataFrame) -> DataFrame:
+    """One row: objects_checked, all that is stored, and the objects of a report by status."""
+    stored = commits.select("hash").unionAll(trees.select("hash")).unionAll(blobs.select("hash")).agg(F.count(F.lit(1)).alias("objects_checked"))
+    found = report.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("corrupt", "missing", "dangling")))
+    return stored.join(found)
+
+
 def is_ok(report: DataFrame) -> bool:
     """Dangling objects are no fault."""
     return report.where("status <> 'dangling'").isEmpty()

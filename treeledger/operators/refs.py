@@ -64,8 +64,3 @@ def nesting_conflicts(refs: DataFrame) -> DataFrame:
     ups = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.concat_ws("/", F.slice(pieces, 1, i)))
     up = refs.where(F.size(pieces) > 1).select("namespace", F.explode(ups).alias("name"))
     return refs.join(up.distinct(), ["namespace", "name"], "left_semi").select("namespace", "name")
-
-
-def hash_or_ref(c: str) -> Column:
-    """Whether a spec is a hash."""
-    return is_hash(c)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.errors import CorruptObject, NotFastForward, RefNotFound
+from treeledger.errors import CorruptObject, InvalidEntryName, NotFastForward, RefNotFound
 from treeledger.functions.hashing import commit_hash
+from treeledger.functions.text import entry_name_ok
 from treeledger.operators.history import is_ancestor
 from treeledger.operators.reach import mark
 from treeledger.operators.refs import HEADS, current
+from treeledger.plans.merkle import tree_hashes
 
 
 def needed(marked: dict[str, DataFrame], there: dict[str, DataFrame]) -> DataFrame:
@@ -60,7 +64,9 @@ def _send(source, destination, name: str, head: DataFrame, dry_run: bool, set_re
     lacking = needed(marked, there)
     total = sum(df.count() for df in marked.values())
     count = lacking.count()
-    result = {"hash": head.first()["hash"], "objects_to_transfer": count if dry_run else 0, "copied": 0 if dry_run else count, "skipped": total - count}
+    lengths = [source.table(t).select(F.lit(k).alias("object_type"), "hash", "length") for k, t in (("blob", "blobs"), ("tree", "trees"), ("commit", "commits"))]
+    size = lacking.join(reduce(DataFrame.unionByName, lengths), ["object_type", "hash"]).agg(F.sum("length")).first()[0] or 0
+    result = {"bytes": size, "hash": head.first()["hash"], "objects_to_transfer": count if dry_run else 0, "copied": 0 if dry_run else count, "skipped": total - count}
     if dry_run:
         return result
     want = {k: lacking.where(F.col("object_type") == k).select("hash") for k in marked}
@@ -70,7 +76,11 @@ def _send(source, destination, name: str, head: DataFrame, dry_run: bool, set_re
         "trees": source.table("trees").join(want["tree"], "hash", "left_semi"),
         "commits": source.table("commits").join(want["commit"], "hash", "left_semi"),
     }
-    bad = rows["commits"].where(commit_hash() != F.col("hash")).select("hash").first()
+    wrong = rows["tree_entries"].where(~entry_name_ok("name")).select("name").first()
+    if wrong:
+        raise InvalidEntryName(wrong[0])
+    made = rows["tree_entries"].select(F.col("tree_hash").alias("stored"), *(c for c in rows["tree_entries"].columns if c != "tree_hash"))
+    bad = rows["commits"].where(commit_hash() != F.col("hash")).select("hash").first() or tree_hashes(made, "stored").where("stored <> tree_hash").select("stored").first()
     if bad:
         raise CorruptObject(bad[0])
     destination.append_all(rows)

@@ -5,15 +5,17 @@ from __future__ import annotations
 import fcntl
 import json
 import os
+import shutil
+import uuid
 from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.errors import CorruptObject, LockContention, NoRepo, ObjectNotFound, RefNotFound, RemoteExists, RemoteNotFound, RepoExists
-from treeledger.functions import paths as P
+from treeledger.errors import CorruptObject, DuplicateEntryName, InvalidEntryName, LockContention, NoRepo, ObjectNotFound, RefNotFound, RemoteExists, RemoteNotFound, RepoExists
 from treeledger.functions.hashing import artifact_hash
+from treeledger.functions.text import ref_name_ok
 from treeledger.operators import ingest, reach, refs
 from treeledger.operators.refs import HEADS
 from treeledger.operators.remap import inside_ids
@@ -28,7 +30,7 @@ class Store:
     """Objects are appended first and refs last, so what a ref names is always there."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self._held = spark, path.rstrip("/"), False
         if not os.path.exists(f"{self.path}/config.json"):
             raise NoRepo(path)
 
@@ -49,16 +51,31 @@ class Store:
 
     @contextmanager
     def locked(self):
-        """Hold the store's lock; raises at once if another does."""
+        """Hold the store's lock; raises at once if another does. Whoever holds it may take it again."""
+        if self._held:
+            yield
+            return
         with open(f"{self.path}/lock", "w") as f:
             try:
                 fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
             except OSError:
                 raise LockContention(self.path) from None
-            yield
+            self._held = True
+            try:
+                yield
+            finally:
+                self._held = False
+
+    def _place(self, name: str) -> str:
+        """The folder that holds a table now; one file names all that were rewritten, so they change together."""
+        try:
+            with open(f"{self.path}/places.json") as f:
+                return f"{self.path}/{json.load(f).get(name, name)}"
+        except FileNotFoundError:
+            return f"{self.path}/{name}"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(TABLES[name]).parquet(self._place(name))
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Rows whose key isn't stored yet, each once."""
@@ -67,7 +84,7 @@ class Store:
         if name in KEYS:
             keys = KEYS[name]
             rows = rows.dropDuplicates(keys).join(self.table(name).select(keys[0]).distinct(), keys[0], "left_anti").select([f.name for f in fields])
-        rows.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{name}")
+        rows.write.mode("append").option("compression", "zstd").parquet(self._place(name))
 
     def append_all(self, tables: dict[str, DataFrame]) -> None:
         for name in ("blobs", "tree_entries", "trees", "commits", "artifacts"):
@@ -115,32 +132,43 @@ class Store:
         return refs.resolve(refs.current(self.table("refs_log")), spec)
 
     def delete_ref(self, name: str, namespace: str = HEADS) -> None:
-        if self.refs(namespace).where(F.col("name") == name).isEmpty():
-            raise RefNotFound(name)
         with self.locked():
-            seq = (self.table("refs_log").agg(F.max("seq")).first()[0] or 0) + 1
-            self.append("refs_log", self.spark.createDataFrame([(namespace, name, None, seq)], TABLES["refs_log"]))
+            if self.refs(namespace).where(F.col("name") == name).isEmpty():
+                raise RefNotFound(name)
+            self._drop_refs([name], namespace)
 
     def delete_refs(self, pattern: str, namespace: str = HEADS) -> list[str]:
-        """Delete all refs that fit a glob; their names."""
-        names = [r[0] for r in refs.matching(refs.current(self.table("refs_log")), pattern, namespace).collect()]
-        for name in names:
-            self.delete_ref(name, namespace)
+        """Delete all refs that fit a glob, in one append; their names."""
+        with self.locked():
+            names = [r[0] for r in refs.matching(refs.current(self.table("refs_log")), pattern, namespace).collect()]
+            if names:
+                self._drop_refs(names, namespace)
         return names
 
+    def _drop_refs(self, names: list[str], namespace: str) -> None:
+        seq = (self.table("refs_log").agg(F.max("seq")).first()[0] or 0) + 1
+        self.append("refs_log", self.spark.createDataFrame([(namespace, name, None, seq + i) for i, name in enumerate(names)], TABLES["refs_log"]))
+
     # Snapshots
 
     def commit(self, files: DataFrame, ref: str, message: str = "", author: str = "unknown", timestamp: int = 0, metadata: dict[str, str] | None = None) -> str:
         """Store source files as a commit whose parent is the ref's present value."""
         refs.check_name(ref)
         maps = self.table("id_maps")
-        paths, blobs = ingest.snapshot(files if maps.isEmpty() else inside_ids(files, maps))
-        self.append("blobs", blobs)
-        old = self.refs().where(F.col("name") == ref).first()
-        return self._commit_paths(paths, ref, [old["hash"]] if old else [], message, author, timestamp, metadata or {})
+        with self.locked():  # so that no collection runs between an object and the ref that leads to it
+            paths, blobs = ingest.snapshot(files if maps.isEmpty() else inside_ids(files, maps))
+            self.append("blobs", blobs)
+            old = self.refs().where(F.col("name") == ref).first()
+            return self._commit_paths(paths, ref, [old["hash"]] if old else [], message, author, timestamp, metadata or {})
 
     def _commit_paths(self, paths: DataFrame, ref: str, parents: list[str], message: str, author: str, timestamp: int, metadata: dict[str, str]) -> str:
         full = merkle(paths)
+        bad = full.where((F.col("path") != "") & ~ref_name_ok("path")).select("path").first()
+        if bad:
+            raise InvalidEntryName(bad[0])
+        twice = full.groupBy("path").count().where("count > 1").select("path").first()
+        if twice:
+            raise DuplicateEntryName(twice[0])
         trees = full.where("kind = 'directory'").select("hash", F.coalesce("n_entries", F.lit(0)).alias("n_entries"), F.lit(None).cast("long").alias("length"))
         root = full.where("path = ''").first()["hash"]
         commit = ingest.commit_row(self.spark, root, parents, author, timestamp, message, metadata)
@@ -184,34 +212,38 @@ class Store:
 
     def gc(self, dry_run: bool = True) -> DataFrame:
         """(object_type, removed, bytes); unless dry, tables are rewritten without unreachable objects."""
-        stored = {"commit": self.table("commits"), "tree": self.table("trees"), "blob": self.table("blobs")}
-        marked = reach.mark(stored["commit"], self.table("tree_entries"), self.refs().select("hash"), stored["tree"])
-        report = reach.gc_stats(stored, marked)
-        if dry_run:
-            return report
-        report = self.spark.createDataFrame(report.collect(), report.schema)
-        keep = {"commits": marked["commit"], "trees": marked["tree"], "blobs": marked["blob"], "tree_entries": marked["tree"].withColumnRenamed("hash", "tree_hash")}
-        with self.locked():
-            for name, marks in keep.items():
-                self._write_new(name, self.table(name).join(marks, marks.columns[0], "left_semi"))
-            for name in keep:
-                self._swap(name)
+        with self.locked():  # over marking and sweeping
+            stored = {"commit": self.table("commits"), "tree": self.table("trees"), "blob": self.table("blobs")}
+            marked = reach.mark(stored["commit"], self.table("tree_entries"), self.refs().select("hash"), stored["tree"])
+            report = reach.gc_stats(stored, marked)
+            if dry_run:
+                return report
+            report = self.spark.createDataFrame(report.collect(), report.schema)
+            keep = {"commits": marked["commit"], "trees": marked["tree"], "blobs": marked["blob"], "tree_entries": marked["tree"].withColumnRenamed("hash", "tree_hash")}
+            self._rewrite({name: self.table(name).join(marks, marks.columns[0], "left_semi") for name, marks in keep.items()})
         return report
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Put rows in place of a table."""
         with self.locked():
-            self._write_new(name, rows)
-            self._swap(name)
-
-    def _write_new(self, name: str, rows: DataFrame) -> None:
-        rows.select(TABLES[name].names).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}.new")
-
-    def _swap(self, name: str) -> None:
-        os.rename(f"{self.path}/{name}", f"{self.path}/{name}.old")
-        os.rename(f"{self.path}/{name}.new", f"{self.path}/{name}")
-        _remove(f"{self.path}/{name}.old")
-        self.spark.catalog.refreshByPath(f"{self.path}/{name}")
+            self._rewrite({name: rows})
+
+    def _rewrite(self, tables: dict[str, DataFrame]) -> None:
+        """Write new folders, then name them all at once; a crash before that leaves the old ones, after it only rubbish."""
+        old = {name: self._place(name) for name in tables}
+        new = {name: f"{name}.{uuid.uuid4().hex}" for name in tables}
+        for name, rows in tables.items():
+            rows.select(TABLES[name].names).write.option("compression", "zstd").parquet(f"{self.path}/{new[name]}")
+        places = f"{self.path}/places.json"
+        known = {}
+        if os.path.exists(places):
+            with open(places) as f:
+                known = json.load(f)
+        with open(f"{places}.new", "w") as f:
+            json.dump(known | new, f)
+        os.replace(f"{places}.new", places)
+        for path in old.values():
+            shutil.rmtree(path)
 
     def fsck(self, verify_blobs: bool = False) -> DataFrame:
         return reach.fsck(self.table("commits"), self.table("tree_entries"), self.table("trees"), self.table("blobs"), self.refs().select("hash"), verify_blobs)
@@ -245,17 +277,3 @@ class Store:
         if url is None:
             raise RemoteNotFound(name)
         return url
-
-
-def _remove(path: str) -> None:
-    for top, folders, names in os.walk(path, topdown=False):
-        for n in names:
-            os.remove(os.path.join(top, n))
-        for n in folders:
-            os.rmdir(os.path.join(top, n))
-    os.rmdir(path)
-
-
-def content_of(paths: DataFrame, blobs: DataFrame) -> DataFrame:
-    """paths with content, joined late so that it goes through no other shuffle."""
-    return paths.join(blobs.select("hash", "content").dropDuplicates(["hash"]), "hash", "left").withColumn("depth", P.depth("path"))

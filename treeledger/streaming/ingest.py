@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from treeledger.store import Store
 
@@ -14,9 +15,9 @@ def commit_each_batch(files: DataFrame, store: Store, ref: str, checkpoint: str,
     """
 
     def commit(batch: DataFrame, number: int) -> None:
-        head = store.refs().where(f"name = '{ref}'").first()
+        head = store.refs().where(F.col("name") == ref).first()
         if head is not None:
-            last = store.table("commits").where(f"hash = '{head['hash']}'").first()
+            last = store.table("commits").where(F.col("hash") == head["hash"]).first()
             if last is not None and last["metadata"].get("batch") == str(number):
                 return
         store.commit(batch, ref, message=f"batch {number}", timestamp=number, metadata={"batch": str(number)})
