@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from treeledger.functions.hashing import artifact_hash, as_bytes, blob_hash
+from treeledger.functions.hashing import artifact_hash, as_bytes, blob_hash, commit_hash
 from treeledger.operators.ingest import with_parents
+from treeledger.plans.merkle import merkle, tree_entries
 from treeledger.plans.scratch import written
 from treeledger.schema import PATHS, PAYLOAD_COLUMNS
 
@@ -158,6 +162,37 @@ def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"commits": kept, "tree_entries": entries, "trees": trees, "blobs": blobs, "refs": heads(history).where(~F.col("name").rlike("0$"))}
 
 
+def nested(spark: SparkSession, sf_dir: str, damaged: bool = False) -> dict[str, DataFrame]:
+    """A store of both document snapshots, a commit each, with a ref to the first. Damaged: the first only, without the tree de/src3 and some
+    blobs, an entry of en/src1 gone, and a stray tree."""
+    parts = [merkle(v1(spark, sf_dir))] if damaged else [merkle(v1(spark, sf_dir)), merkle(v2(spark, sf_dir))]
+    entries, trees, commits_, blobs = [], [], [], []
+    for i, full in enumerate(parts):
+        folders = full.where("kind = 'directory'")
+        own = tree_entries(full)
+        if damaged:
+            hash_of = {r["path"]: r["hash"] for r in folders.where("path in ('de/src3', 'en/src1')").select("path", "hash").collect()}
+            first = own.where(F.col("tree_hash") == hash_of.get("en/src1")).agg(F.min("name")).first()[0]
+            cut = (F.col("tree_hash") == F.lit(hash_of.get("en/src1"))) & (F.col("name") == F.lit(first))
+            own = own.where((F.col("tree_hash") != F.lit(hash_of.get("de/src3", ""))) & ~F.coalesce(cut, F.lit(False)))
+            folders = folders.where("path <> 'de/src3'")
+        entries.append(own)
+        trees.append(folders.select("hash", F.col("n_entries").alias("length")))
+        commits_.append(full.where("path = ''").select(F.sha2(F.lit(f"nested {i}").cast("binary"), 256).alias("hash"), F.col("hash").alias("tree"), F.array().cast("array<string>").alias("parents")))
+        blobs.append(hashed((files_v1, files_v2)[i](spark, sf_dir)).select("hash", "length"))
+    out = {"tree_entries": reduce(DataFrame.unionByName, entries).dropDuplicates(["tree_hash", "name"]), "trees": reduce(DataFrame.unionByName, trees).dropDuplicates(["hash"])}
+    out |= {"commits": reduce(DataFrame.unionByName, commits_), "blobs": reduce(DataFrame.unionByName, blobs).dropDuplicates(["hash"])}
+    out["refs"] = commits_[0].select(F.lit("main").alias("name"), "hash")
+    if damaged:
+        out["trees"] = out["trees"].unionByName(spark.createDataFrame([(hashlib.sha256(b"stray").hexdigest(), 1)], "hash string, length long"))
+        out["blobs"] = out["blobs"].where("substr(hash, 1, 1) <> '7'")
+        # The commit is as it should be.
+        row = out["commits"].withColumns({"author": F.lit("a"), "timestamp": F.lit(0).cast("long"), "message": F.lit(""), "metadata": F.create_map().cast("map<string,string>")})
+        out["commits"] = row.withColumn("hash", commit_hash())
+        out["refs"] = out["commits"].select(F.lit("main").alias("name"), "hash")
+    return out
+
+
 def id_maps(spark: SparkSession, shift: int = 0) -> DataFrame:
     """Two ranges for user ids, the same for group ids; shift moves the outside ids."""
     rows = [(t, i, a, b + shift, c) for t in ("uid", "gid") for i, (a, b, c) in enumerate(((0, 1000, 1), (1, 100000, 65536)))]

@@ -10,7 +10,7 @@ from treeledger.functions.hashing import blob_hash, commit_hash
 from treeledger.operators.history import ancestors
 from treeledger.plans.closure import SENT_EDGES
 from treeledger.plans.merkle import tree_hashes
-from treeledger.plans.scratch import written
+from treeledger.plans.scratch import Scratch
 from treeledger.schema import EMPTY_TREE
 
 
@@ -21,13 +21,17 @@ def marked_commits(commits: DataFrame, heads: DataFrame, sent_edges: int = SENT_
 
 
 def marked_trees(commits: DataFrame, entries: DataFrame, marked: DataFrame) -> DataFrame:
-    """(hash) of trees below marked commits, level by level, each tree once."""
-    seen = written(commits.join(marked, "hash", "left_semi").select(F.col("tree").alias("hash")).distinct())
-    front = seen
-    children = entries.where("kind = 'directory'").select("tree_hash", "hash")
+    """(hash) of trees below marked commits, level by level, each tree once; only directory entries are read again for each level."""
+    scratch = Scratch(commits.sparkSession)
+    children = scratch.table(entries.where("kind = 'directory'").select("tree_hash", "hash").distinct(), "children")
+    front = seen = scratch.table(commits.join(marked, "hash", "left_semi").select(F.col("tree").alias("hash")).distinct(), "level-0")
+    level = 0
     while True:
-        new = written(children.join(front.withColumnRenamed("hash", "tree_hash"), "tree_hash", "left_semi").select("hash").distinct().join(seen, "hash", "left_anti"))
+        level += 1
+        below = children.join(front.withColumnRenamed("hash", "tree_hash"), "tree_hash", "left_semi").select("hash").distinct()
+        new = scratch.table(below.join(seen, "hash", "left_anti"), f"level-{level}")
         if new.isEmpty():
+            scratch.drop("children")
             return seen
         seen, front = seen.union(new), new
 

@@ -216,7 +216,7 @@ ORACLE_SQL = {
     "root_commits": f"WITH {COMMITS} SELECT hash, author FROM commits WHERE p1 IS NULL AND p2 IS NULL",
     "commit_metadata": f"WITH {COMMITS} SELECT hash, substr(hash, 1, 12) AS short, coalesce('k=' || k, '') AS metadata FROM commits",
     "is_ancestor": f"""WITH RECURSIVE {COMMITS}, firsts AS (SELECT user_id, min_by(hash, (ts, event_id)) AS old FROM commits GROUP BY 1),
-        p AS (SELECT old, h.hash AS new FROM heads h JOIN firsts ON user_id IN (regexp_extract(name, '[0-9]+$')::BIGINT, regexp_extract(name, '[0-9]+$')::BIGINT + 1) WHERE regexp_matches(name, '1$')),
+        p AS (SELECT old, h.hash AS new FROM heads h JOIN firsts ON user_id IN (regexp_extract(name, '[0-9]+$')::BIGINT, regexp_extract(name, '[0-9]+$')::BIGINT + 1)),
         q AS (SELECT old, new FROM p UNION SELECT new, old FROM p),
         r AS (SELECT new AS root, new AS node FROM q UNION SELECT root, parent FROM r JOIN edges ON child = node)
         SELECT old, new, EXISTS (SELECT 1 FROM r WHERE root = new AND node = old) AS ok FROM q""",
@@ -240,7 +240,7 @@ ORACLE_SQL = {
     "transfer_shallow": FULL + "SELECT hash, tree FROM commits WHERE hash IN (SELECT hash FROM roots)",
     "fast_forward": f"""WITH RECURSIVE {COMMITS}, theirs AS (SELECT 'users/' || user_id AS name, max_by(hash, (ts, event_id)) AS hash FROM commits WHERE ts < TIMESTAMP '{LAST_SYNC}' GROUP BY user_id),
         moved AS (SELECT name, CASE WHEN name = 'users/11' THEN (SELECT hash FROM theirs WHERE name = 'users/2') ELSE hash END AS hash FROM theirs),
-        ours AS (SELECT h.name, h.hash AS new, m.hash AS old FROM heads h LEFT JOIN moved m USING (name) WHERE regexp_matches(h.name, '[13]$')),
+        ours AS (SELECT h.name, h.hash AS new, m.hash AS old FROM heads h LEFT JOIN moved m USING (name)),
         r AS (SELECT new AS root, new AS node FROM ours UNION SELECT root, parent FROM r JOIN edges ON child = node)
         SELECT name, old IS NULL OR EXISTS (SELECT 1 FROM r WHERE root = new AND node = old) AS ok FROM ours""",
     "truncate_history": f"WITH {COMMITS} SELECT name, hash AS old_hash, {commit_id(chr(39) * 2)} AS hash FROM heads JOIN commits USING (hash) WHERE p1 IS NOT NULL OR p2 IS NOT NULL",
@@ -266,4 +266,28 @@ USAGE = FULL + "SELECT name AS ref_name, coalesce(sum(length), 0)::BIGINT AS byt
 ORACLE_SQL |= {"du_refs": USAGE + " GROUP BY name", "du_refs_glob": USAGE + " WHERE name LIKE 'users/1%' GROUP BY name"}
 ORACLE_SQL |= {f"du_tree_{d}": TREE.replace("{cut}", f"parts[1:{d}]").replace("{d}", str(d)) for d in (1, 2, 3)}
 UNION_ROOT = merged("last", "*").removeprefix("WITH ")
+#: Objects of two snapshots with directories in directories; trees and blobs are damaged by path and hash.
+NESTED = f"""WITH RECURSIVE {snapshot(1)}, {snapshot(2)}, {merkle('v1', 'm1')}, {merkle('v2', 'm2')},
+    entries AS (SELECT DISTINCT p.hash AS tree_hash, p.path AS up, regexp_extract(c.path, '[^/]*$') AS name, c.kind, c.hash, c.n_entries, t.n FROM (SELECT 1 AS n, * FROM m1 UNION ALL SELECT 2, * FROM m2) c
+        JOIN (SELECT 1 AS n, * FROM m1 UNION ALL SELECT 2, * FROM m2) p ON p.n = c.n AND p.path = regexp_replace(c.path, '/?[^/]*$', '') JOIN (VALUES (1), (2)) t(n) ON t.n = c.n WHERE c.path <> '' AND p.kind = 'directory'),
+    all_trees AS (SELECT DISTINCT hash, n_entries AS length, n FROM (SELECT 1 AS n, * FROM m1 UNION ALL SELECT 2, * FROM m2) WHERE kind = 'directory'),
+    all_blobs AS (SELECT DISTINCT hash, length, n FROM (SELECT 1 AS n, hash, length FROM hashed1 UNION ALL SELECT 2, hash, length FROM hashed2)) """
+DAMAGED_NESTED = NESTED + """, kept AS (SELECT * FROM entries WHERE n = 1 AND up <> 'de/src3' AND NOT (up = 'en/src1' AND name = (SELECT min(name) FROM entries WHERE n = 1 AND up = 'en/src1'))),
+    reached AS (SELECT hash FROM m1 WHERE path = '' UNION SELECT e.hash FROM kept e JOIN reached r ON tree_hash = r.hash WHERE kind = 'directory'),
+    trees AS (SELECT hash FROM m1 WHERE kind = 'directory' AND path <> 'de/src3' UNION SELECT sha256('stray')),
+    blobs AS (SELECT hash FROM all_blobs WHERE n = 1 AND substr(hash, 1, 1) <> '7'),
+    uses AS (SELECT tree_hash, name, hash FROM kept WHERE kind IN ('regular', 'symlink') AND tree_hash IN (SELECT hash FROM reached)),
+    report AS (SELECT 'corrupt' AS status, 'tree' AS object_type, hash, '' AS detail FROM m1 WHERE path = 'en/src1' AND n_entries > 1
+        UNION ALL SELECT 'missing', 'tree', hash, '' FROM reached WHERE hash NOT IN (SELECT hash FROM trees) UNION ALL SELECT 'missing', 'blob', hash, tree_hash || '/' || name FROM uses WHERE hash NOT IN (SELECT hash FROM blobs)
+        UNION ALL SELECT 'dangling', 'tree', hash, '' FROM trees WHERE hash NOT IN (SELECT hash FROM reached) UNION ALL SELECT 'dangling', 'blob', hash, '' FROM blobs WHERE hash NOT IN (SELECT hash FROM uses)) """
+ORACLE_SQL |= {
+    "reachable_commits_doubled": ORACLE_SQL["reachable_commits"],
+    "flatten_tree": f"WITH {snapshot(1)}, {merkle('v1', 'm')} SELECT path, kind, hash FROM m WHERE path <> ''",
+    "fsck_nested": DAMAGED_NESTED + "SELECT * FROM report",
+    "fsck_counts": DAMAGED_NESTED + """SELECT (SELECT count(*) FROM trees) + (SELECT count(*) FROM blobs) + 1 AS objects_checked, count_if(status = 'corrupt')::BIGINT AS corrupt, count_if(status = 'missing')::BIGINT AS missing,
+        count_if(status = 'dangling')::BIGINT AS dangling FROM report""",
+    "gc_nested": NESTED + """SELECT 'commit' AS object_type, 1::BIGINT AS removed, 1::BIGINT AS bytes
+        UNION ALL SELECT 'tree', count(*), coalesce(sum(length), 0)::BIGINT FROM (SELECT DISTINCT hash, length FROM all_trees WHERE hash NOT IN (SELECT hash FROM all_trees WHERE n = 1))
+        UNION ALL SELECT 'blob', count(*), coalesce(sum(length), 0)::BIGINT FROM (SELECT DISTINCT hash, length FROM all_blobs WHERE hash NOT IN (SELECT hash FROM all_blobs WHERE n = 1))""",
+}
 ORACLE_SQL["union_root_hash"] = f"WITH u AS (WITH {UNION_ROOT}), v AS (SELECT path, kind, hash, CASE WHEN kind = 'regular' THEN size END AS size, NULL::VARCHAR AS target_path, uid, gid, mode FROM u), {merkle('v', 'm')} SELECT hash FROM m WHERE path = ''"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeledger.functions import paths as P
 from treeledger.functions.hashing import as_bytes, entry_line, name_bucket
-from treeledger.plans.scratch import written
+from treeledger.plans.scratch import Scratch, written
 from treeledger.schema import EMPTY_TREE, PAYLOAD_COLUMNS
 
 
@@ -62,13 +62,19 @@ def tree_entries(merkled: DataFrame) -> DataFrame:
 
 
 def flatten(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """(snapshot, path, payload) from tree objects and (snapshot, tree_hash), level by level until no directory is left."""
-    front = roots.select("snapshot", F.lit("").alias("prefix"), "tree_hash")
-    found: list[DataFrame] = []
+    """(snapshot, path, payload) from tree objects and (snapshot, tree_hash).
+
+    Directories are found level by level over the directory entries alone, which are written once; then all entries are joined to them in one pass.
+    """
+    scratch = Scratch(entries.sparkSession)
+    folders = scratch.table(entries.where("kind = 'directory'").select("tree_hash", "name", "hash"), "folders")
+    front = scratch.table(roots.select("snapshot", F.lit("").alias("prefix"), "tree_hash"), "level-0")
+    found = [front]
     while True:
-        level = written(front.join(entries, "tree_hash").select("snapshot", P.join("prefix", "name").alias("path"), *PAYLOAD_COLUMNS))
-        found.append(level)
-        directories = level.where("kind = 'directory'")
-        if directories.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        front = directories.select("snapshot", F.col("path").alias("prefix"), F.col("hash").alias("tree_hash"))
+        below = front.join(folders, "tree_hash").select("snapshot", P.join("prefix", "name").alias("prefix"), F.col("hash").alias("tree_hash"))
+        front = scratch.table(below, f"level-{len(found)}")
+        if front.isEmpty():
+            break
+        found.append(front)
+    scratch.drop("folders")
+    return reduce(DataFrame.unionByName, found).join(entries, "tree_hash").select("snapshot", P.join("prefix", "name").alias("path"), *PAYLOAD_COLUMNS)

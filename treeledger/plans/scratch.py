@@ -28,10 +28,10 @@ class Scratch:
         self.base = f"{folder(spark)}/treeledger-{uuid.uuid4().hex}"
         self.names: set[str] = set()
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back."""
+    def table(self, df: DataFrame, name: str, compression: str = "none") -> DataFrame:
+        """Write df and read it back. Hashes and counters don't compress, and codecs hold memory outside the heap; texts should be compressed."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -24,5 +24,5 @@ def prepare(spark: SparkSession) -> SparkSession:
     for name, value in WORKER_ENV.items():
         env.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark

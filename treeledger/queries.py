@@ -20,7 +20,7 @@ from treeledger.operators import remap as M
 from treeledger.operators import transfer as T
 from treeledger.operators import union as U
 from treeledger.operators import usage as Z
-from treeledger.plans.merkle import merkle
+from treeledger.plans.merkle import flatten, merkle, tree_entries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LAST_SYNC = "2024-01-15"
@@ -210,27 +210,18 @@ def commit_metadata(s, d):
     return H.shown(X.commits(s, d)).select("hash", "short", "metadata")
 
 
-def _ancestry(s, d, named: str = "") -> DataFrame:
-    """Heads whose name has the pattern (all without one) against the first commits of their user and the next, both ways round."""
+@query
+def is_ancestor(s, d):
+    """Every head against the first commits of its user and the next, both ways round."""
     history = X.commits(s, d)
-    heads = X.heads(history).where(F.col("name").rlike(named)).select(F.col("hash").alias("new"), F.regexp_extract("name", "[0-9]+$", 0).cast("long").alias("user"))
+    heads = X.heads(history).select(F.col("hash").alias("new"), F.regexp_extract("name", "[0-9]+$", 0).cast("long").alias("user"))
     firsts = history.groupBy("user_id").agg(F.min_by("hash", F.struct("ts", "event_id")).alias("old"))
-    pairs = heads.join(firsts, (F.col("user_id") == F.col("user")) | (F.col("user_id") == F.col("user") + 1)).select("old", "new").distinct()
+    near = heads.withColumn("user_id", F.explode(F.array("user", F.col("user") + 1)))
+    pairs = near.join(firsts, "user_id").select("old", "new").distinct()
     back = pairs.select(F.col("new").alias("old"), F.col("old").alias("new"))
     return H.is_ancestor(history, pairs.union(back).distinct())
 
 
-@query
-def is_ancestor(s, d):
-    """A tenth of the refs, as its SQL has it; is_ancestor_all asks for every ref."""
-    return _ancestry(s, d, "1$")
-
-
-@query
-def is_ancestor_all(s, d):
-    return _ancestry(s, d)
-
-
 def _full(s, d) -> dict[str, DataFrame]:
     """The store without missing commits and trees."""
     out = X.store(s, d)
@@ -245,6 +236,42 @@ def reachable_commits(s, d):
     return R.marked_commits(full["commits"], full["refs"])
 
 
+@query
+def reachable_commits_doubled(s, d):
+    """By doubling, as a graph too large to send is closed."""
+    full = _full(s, d)
+    return R.marked_commits(full["commits"], full["refs"], sent_edges=0)
+
+
+@query
+def flatten_tree(s, d):
+    """Paths to tree objects and back."""
+    full = merkle(X.v1(s, d))
+    roots = full.where("path = ''").select(F.lit("v1").alias("snapshot"), F.col("hash").alias("tree_hash"))
+    return flatten(tree_entries(full), roots).select("path", "kind", "hash")
+
+
+@query
+def fsck_nested(s, d):
+    """Damage among directories in directories: corrupt, missing and dangling trees and blobs."""
+    x = X.nested(s, d, damaged=True)
+    return R.fsck(x["commits"], x["tree_entries"], x["trees"], x["blobs"], x["refs"])
+
+
+@query
+def fsck_counts(s, d):
+    x = X.nested(s, d, damaged=True)
+    return R.fsck_counts(R.fsck(x["commits"], x["tree_entries"], x["trees"], x["blobs"], x["refs"]), x["commits"], x["trees"], x["blobs"])
+
+
+@query
+def gc_nested(s, d):
+    """Two snapshots of which a ref leads to one: what only the other holds goes."""
+    x = X.nested(s, d)
+    stored = {"commit": x["commits"].select("hash", F.lit(1).cast("long").alias("length")), "tree": x["trees"], "blob": x["blobs"]}
+    return R.gc_stats(stored, R.mark(x["commits"], x["tree_entries"], x["refs"], x["trees"]))
+
+
 @query
 def gc_dry_run(s, d):
     full = _full(s, d)
@@ -302,25 +329,14 @@ def transfer_shallow(s, d):
     return T.shallow(full["commits"], full["refs"]).select("hash", "tree")
 
 
-def _forward(s, d, named: str = "") -> DataFrame:
-    """Heads whose name has the pattern (all without one) against the heads at the last sync, one of them moved."""
+@query
+def fast_forward(s, d):
+    """Every head against the heads at the last sync, one of them moved."""
     history = X.commits(s, d)
-    ours = X.heads(history).where(F.col("name").rlike(named))
     theirs = X.heads(history.where(F.col("ts") < F.lit(LAST_SYNC).cast("timestamp")))
     other = theirs.where("name = 'users/2'").select("hash").first()
     moved = theirs.withColumn("hash", F.when(F.col("name") == "users/11", F.lit(other[0] if other else None)).otherwise(F.col("hash")))
-    return T.fast_forward(history, ours, moved).select("name", "ok")
-
-
-@query
-def fast_forward(s, d):
-    """A fifth of the refs, as its SQL has it; fast_forward_all asks for every ref."""
-    return _forward(s, d, "[13]$")
-
-
-@query
-def fast_forward_all(s, d):
-    return _forward(s, d)
+    return T.fast_forward(history, X.heads(history), moved).select("name", "ok")
 
 
 @query
