@@ -1,67 +1,53 @@
-"""What the operators of this subpackage share: worker path, scratch tables, hashing of byte runs."""
+"""What the operators of this subpackage share: worker settings, scratch tables, hashing of byte runs."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The directory that holds this package; workers import the package from there in local runs.
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from treeledger.plans.scratch import Scratch  # noqa: F401  (for the operators)
+from treeledger.plans.workers import prepare  # noqa: F401  (for the operators)
 
 #: Bytes of text that the vectorised kernels take at once; a longer text is a chunk by itself.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
+_FORGET: dict[str, Callable[[], None]] = {}
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and bound the bytes of an Arrow batch.
 
-    On a cluster the package is installed or shipped (``--py-files``); the path set here only
-    helps local runs, where driver and workers see the same folder.
-    """
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (ROOT, os.environ.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    return spark
+def at_work(name: str, forget: Callable[[], None] | None = None) -> None:
+    """Called where a task of an operator begins: what other operators remember in this worker process is forgotten."""
+    for other, clear in _FORGET.items():
+        if other != name:
+            clear()
+    if forget:
+        _FORGET[name] = forget
 
 
-class Scratch:
-    """Tables written to the shared checkpoint folder, so that lineage ends there.
+#: Bits of a filter: so many for each value, and this many at most (16 MB). A full filter lets more through, none less.
+FILTER_SHARE = 16
+FILTER_BITS = 1 << 27
 
-    A lost executor costs nothing that was written. The folder comes from
-    ``spark.checkpoint.dir``; only where that is unset (tests, local runs) a temporary one is used.
-    """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not base:
-            base = spark.conf.get("treeledger.scratch", None)
-            if not base:
-                base = "file://" + tempfile.mkdtemp(prefix="treeledger-")
-                spark.conf.set("treeledger.scratch", base)
-        self.base = f"{base.rstrip('/')}/treeledger-{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back."""
-        path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Remove tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def flags_of(df: DataFrame, column: str) -> Broadcast:
+    """A broadcast filter of a long column's values; no more than its words come to the driver."""
+    values = df.select(F.col(column).alias("v")).distinct()
+    size = min(FILTER_BITS, 1 << max(12, (FILTER_SHARE * values.count()).bit_length()))
+    words = values.groupBy(F.shiftright(F.col("v").bitwiseAND(size - 1), 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(v & 63 as int))")).alias("b"))
+    flags = np.zeros(size >> 6, np.int64)
+    for r in words.toLocalIterator():
+        flags[r.w] = r.b
+    return df.sparkSession.sparkContext.broadcast(flags.view(np.uint64))
+
+
+def flagged(flags: np.ndarray, value: int) -> bool:
+    """Whether a filter lets a value through."""
+    at = value & (len(flags) << 6) - 1
+    return bool(int(flags[at >> 6]) >> (at & 63) & 1)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -78,7 +64,7 @@ def byte_rows(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
-def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes] | list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``limit`` bytes in sum."""
     start, total = 0, 0
     for i, text in enumerate(texts):
@@ -100,34 +86,41 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = np.uint64(0x5851F42D4C957F2D)
-_POWERS = np.ones(1, np.uint64)
+_BASE = 0x5851F42D4C957F2D
+#: Bytes that are hashed with one table of powers.
+SPAN = 1 << 17
+
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        more = np.full(n, base, np.uint64)
+        more[:1] = 1
+        out.append(np.multiply.accumulate(more))
+    return out[0], out[1]
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        more = np.full(max(n, 1 << 16), _BASE, np.uint64)
-        more[0] = 1
-        _POWERS = np.multiply.accumulate(more)
-    return _POWERS[:n]
+
+_POWERS = _powers(SPAN)
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each run; equal bytes give equal hashes anywhere.
 
-    Runs must not be empty, nor overlap, and must ascend.
+    Runs must not be empty, nor overlap, and must ascend. Each is a difference of prefix sums, shifted back to its start.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    offset = np.arange(int(lengths.sum()), dtype=np.int64)
-    first = np.cumsum(lengths) - lengths
-    offset -= np.repeat(first, lengths)
-    at = np.repeat(starts, lengths) + offset
-    longest = int(lengths.max())
-    terms = _BYTE[data[at]] * _powers(longest)[offset]
-    return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = np.zeros(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        base = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, base + SPAN, side="right")))
+        size = int(ends[b - 1]) - base
+        up, down = _POWERS if size <= SPAN else _powers(size)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE[data[base : base + size]] * up[:size], out=sums[1:])
+        out[a:b] = (sums[ends[a:b] - base] - sums[starts[a:b] - base]) * down[starts[a:b] - base]
+        a = b
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def words_of(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,13 +145,3 @@ def byte_table(separators: bytes, lower: bool = True) -> np.ndarray:
     table[list(separators)] = 0
     table[0] = 0
     return table
-
-
-def spread(df: DataFrame, per_partition: str | None = None) -> DataFrame:
-    """Unchanged; the one place to deal rows anew if a source has too few splits."""
-    return df
-
-
-def count_rows(df: DataFrame) -> int:
-    """Rows of df, counted on the executors."""
-    return df.agg(F.count(F.lit(1))).first()[0]

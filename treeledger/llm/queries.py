@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from treeledger.llm.common import read
+from treeledger.llm.oracle import ORACLE_SQL  # noqa: F401  (for the entry)
 
 
 def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +82,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
 }
-
-ORACLE_SQL: dict[str, str] = {}
