@@ -3,12 +3,12 @@
 Equal vectors are one point of the graph that carries its smallest ids, as many as an answer can need; so a vector that a third of the
 rows share is one point. Points are dealt to shards by a hash; a shard's graph is built in one task of bounded size, layer by layer, and
 stored as flat arrays: vectors, neighbours of the lowest layer (a fixed number of places for each point), and the upper layers as
-(point, neighbour) runs. The distinct query vectors form blocks; each block is searched in each shard, and the answers of
-the shards are merged. Scores are computed anew in double precision on the vectors as given.
+(point, neighbour) runs. The distinct query vectors form blocks, and the blocks go to the shards: a task loads a shard once and searches a run of blocks in it. Every
+query meets every shard, so the work is queries times shards; the answers of the shards are merged. Scores are computed anew in double precision on the vectors as given.
 
 Cases: null, empty or zero vectors, or those with a null or non-finite component, are neither candidates nor queries; vectors of
-different lengths aren't compared; rows with a null id are skipped; rows that repeat an id count once for equal vectors; ties go to the smaller id; an
-empty table gives an empty table; other columns are ignored.
+different lengths aren't compared; rows with a null id are skipped; an id that comes again with other vectors is asked for with the first of them in the order of their bytes,
+and is an answer once, with its best score; ties go to the smaller id; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeledger.llm.common import Scratch, prepare
@@ -29,6 +29,10 @@ LINKS = 12
 BUILD_WIDTH = 48
 SEARCH_WIDTH = 100
 QUERY_BLOCK = 256
+#: Blocks of queries that one copy of a shard serves.
+BLOCKS_PER_COPY = 32
+#: Distinct vectors that a task holds before it passes them on.
+HELD_POINTS = 20_000
 
 
 class Graph:
@@ -155,6 +159,11 @@ class Graph:
         return [p for _, p in self._walk(q, start, 0, width)]
 
 
+def smallest(ids: list[int], most: int) -> list[int]:
+    """The smallest distinct ids."""
+    return sorted(set(ids))[:most]
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     """Rows scaled to length one, for the walk only."""
     v = v.astype(np.float64)
@@ -178,19 +187,44 @@ def nearest(vectors: DataFrame, k: int = K, every: int = 50, shard_points: int =
     )
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct vectors of the partition with their smallest ids, and ids of queries."""
+        """Distinct vectors that the task holds at once with their smallest ids, and whether one is a query's."""
+        held: dict[bytes, list] = {}
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"vec": pa.array(list(held), pa.binary()), "ids": pa.array([x[0] for x in held.values()], pa.list_(pa.int64())), "asked": pa.array([x[1] for x in held.values()], pa.bool_())})
+
         for batch in batches:
-            held: dict[bytes, set[int]] = {}
             lists = batch.column(1)
             flat, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
             for i, vec_id in enumerate(batch.column(0).to_pylist()):
-                held.setdefault((flat[offsets[i] : offsets[i + 1]] + 0.0).tobytes(), set()).add(vec_id)
-            yield pa.RecordBatch.from_pydict(
-                {"vec": pa.array(held, pa.binary()), "ids": pa.array([sorted(x)[:keep] for x in held.values()], pa.list_(pa.int64())), "asked": pa.array([any(i % every == 0 for i in x) for x in held.values()], pa.bool_())}
-            )
-
-    merged = given.mapInArrow(points, "vec binary, ids array<long>, asked boolean").groupBy("vec").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.bool_or("asked").alias("asked"))
-    merged = scratch.table(merged.withColumn("ids", F.slice(F.array_sort(F.array_distinct("ids")), 1, keep)), "points")
+                got = held.setdefault((flat[offsets[i] : offsets[i + 1]] + 0.0).tobytes(), [[], False])
+                got[0], got[1] = smallest([*got[0], vec_id], keep), got[1] or vec_id % every == 0
+            if len(held) >= HELD_POINTS:
+                yield told()
+                held = {}
+        yield told()
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by vector to one for each, holding one vector's ids at a time."""
+        now, ids, asked = None, [], False
+        for batch in batches:
+            out: list[tuple] = []
+            for vec, more, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if vec != now:
+                    if now is not None:
+                        out.append((now, ids, asked))
+                    now, ids, asked = vec, [], False
+                ids, asked = smallest([*ids, *more], keep), asked or wanted
+            yield rows_of(out)
+        if now is not None:
+            yield rows_of([(now, ids, asked)])
+
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("vec", pa.binary()), ("ids", pa.list_(pa.int64())), ("asked", pa.bool_())))})
+
+    kind = "vec binary, ids array<long>, asked boolean"
+    merged = given.mapInArrow(points, kind).repartition("vec").sortWithinPartitions("vec").mapInArrow(together, kind)
+    merged = scratch.table(merged, "points")
     total = merged.count()
     n_shards = max(1, -(-total // shard_points))
     dealt = merged.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(n_shards)).cast("int")).withColumn("dim", F.length("vec"))
@@ -205,32 +239,45 @@ def nearest(vectors: DataFrame, k: int = K, every: int = 50, shard_points: int =
     index_schema = "shard int, dim int, entry int, height int, low binary, fill binary, runs binary, raw binary, ids array<array<long>>"
     index = scratch.table(dealt.groupBy("shard", "dim").applyInArrow(graph, index_schema), "index")
     asked = merged.where("asked").select("vec", F.length("vec").alias("dim"))
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("vec", F.lit(7)), F.lit(max(1, -(-total // every // QUERY_BLOCK)))))
-    blocks = blocks.groupBy("dim", "block").agg(F.collect_list("vec").alias("queries"))
-    # Each block meets each shard of its dimension: a stated query set against all shards, in blocks.
-    pairs = blocks.join(index.select("shard", "dim"), "dim").repartition("shard", "block").join(index, ["shard", "dim"])
+    count = asked.count()
+    blocks = asked.withColumn("block", F.pmod(F.xxhash64("vec", F.lit(7)), F.lit(max(1, -(-count // QUERY_BLOCK)))))
+    blocks = scratch.table(blocks.groupBy("dim", "block").agg(F.collect_list("vec").alias("queries")).withColumn("copy", F.expr(f"block div {BLOCKS_PER_COPY}")), "blocks")
+    # A stated query set against all shards, in blocks: a run of blocks comes to a copy of each shard of its dimension.
+    shards = index.select("shard", "dim")
+    sent = blocks.join(shards, "dim").select("shard", "dim", "copy", "block", "queries")
+    copies = sent.select("shard", "dim", "copy").distinct().join(index, ["shard", "dim"])
+    both = copies.unionByName(sent, allowMissingColumns=True).repartition("shard", "dim", "copy").sortWithinPartitions("shard", "dim", "copy", F.col("block").asc_nulls_first())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for j in range(batch.num_rows):
                 row = {name: batch.column(c)[j].as_py() for c, name in enumerate(batch.schema.names)}
-                raw = np.frombuffer(row["raw"], np.float64).reshape(-1, row["dim"] // 8)
-                g = Graph.load(unit(raw), row, links)
+                if row["queries"] is None:  # the shard itself comes before its blocks
+                    raw = np.frombuffer(row["raw"], np.float64).reshape(-1, row["dim"] // 8)
+                    g, ids = Graph.load(unit(raw), row, links), row["ids"]
+                    continue
                 out_q, out_id, out_s = [], [], []
                 queries = np.stack([np.frombuffer(q, np.float64) for q in row["queries"]])
                 for q, u, key in zip(queries, unit(queries), row["queries"], strict=True):
                     found = np.array(g.search(u, max(width, keep)), np.int64)
                     score = cosines(raw[found], q)
-                    hits = sorted((-s, i) for s, p in zip(score.tolist(), found.tolist(), strict=True) for i in row["ids"][p])[:keep]
+                    best: dict[int, float] = {}
+                    for s, p in zip(score.tolist(), found.tolist(), strict=True):
+                        for i in ids[p]:
+                            best[i] = max(s, best.get(i, -2.0))
+                    hits = sorted((-s, i) for i, s in best.items())[:keep]
                     out_q += [key] * len(hits)
                     out_s += [-s for s, _ in hits]
                     out_id += [i for _, i in hits]
                 yield pa.RecordBatch.from_pydict({"vec": pa.array(out_q, pa.binary()), "vec_id": pa.array(out_id, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
-    hits = pairs.select("shard", "dim", "entry", "height", "low", "fill", "runs", "raw", "ids", "queries").mapInArrow(search, "vec binary, vec_id long, score double")
-    # At most keep hits of each shard for a query.
-    best = hits.groupBy("vec").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, keep).alias("hits"))
+    hits = both.select("dim", "entry", "height", "low", "fill", "runs", "raw", "ids", "queries").mapInArrow(search, "vec binary, vec_id long, score double")
+    # The best of all shards; ranks are cut before the shuffle too, so a query's rows don't grow with the shards.
+    best = hits.groupBy("vec", "vec_id").agg(F.max("score").alias("score"))
+    near_first = [F.desc("score"), "vec_id"]
+    best = best.withColumn("pos", F.row_number().over(Window.partitionBy("vec").orderBy(*near_first))).where(F.col("pos") <= keep).drop("pos")
     best = scratch.table(best, "hits")
+    scratch.clear("hits")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,6 +285,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = 50, shard_points: int =
             flat, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
             yield pa.RecordBatch.from_pydict({"query_id": batch.column(0), "vec": pa.array([(flat[offsets[i] : offsets[i + 1]] + 0.0).tobytes() for i in range(batch.num_rows)], pa.binary())})
 
-    queries = given.where(F.col("vec_id") % every == 0).mapInArrow(own, "query_id long, vec binary").distinct()
-    rows = queries.join(best, "vec").select("query_id", F.posexplode(F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k)).alias("pos", "h"))
-    return rows.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("h.vec_id").alias("vec_id"), (-F.col("h.far")).alias("score"))
+    queries = given.where(F.col("vec_id") % every == 0).mapInArrow(own, "query_id long, vec binary").groupBy("query_id").agg(F.min("vec").alias("vec"))
+    others = queries.join(best, "vec").where("vec_id <> query_id")
+    ranked = others.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*near_first)))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

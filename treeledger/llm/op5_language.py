@@ -5,8 +5,8 @@ triples (its ends included), learned from labelled documents. The script of its
 that hardly ever use it. The best sequence of languages over all words, where each switch costs ``penalty``, gives
 spans; the language of most letters is the document's.
 
-Fitting uses a bounded, deterministic sample of ``docs_per_language`` documents of each language (by a hash of doc_id);
-predicting covers every whole text.
+Fitting uses a bounded, deterministic sample of ``docs_per_language`` documents (by a hash of doc_id) of each of at most ``most_languages`` languages, those
+with the most documents; so the model, 128 KB for each language, has a bound whatever the labels hold. Predicting covers every whole text.
 
 Cases: null or letterless text is ``und`` with score 0 and no spans; without learned languages every text is ``und``; ties go to
 the language first in alphabetical order; equal texts get equal answers; an empty table gives an empty
@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import prepare
+from treeledger.llm.common import at_work, prepare
 
 BUCKETS = 1 << 15
 DOCS_PER_LANGUAGE = 2_000
+MOST_LANGUAGES = 256
 PENALTY = 12.0
 #: Words scored at once times languages.
 BLOCK_SCORES = 2_000_000
@@ -184,15 +185,15 @@ def learning(docs: DataFrame) -> DataFrame:
     return docs.where((F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1) & F.col("lang").isNotNull())
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
     """Letter triples and scripts by language over the sample; what reaches the driver is a table of languages by buckets."""
     prepare(docs.sparkSession)
     known = learning(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")))
-    totals = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    totals = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not totals:
         return Model({}, {})
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, int(min(1.0, docs_per_language / n) * (1 << 20)) + 1)])
-    part = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")]).where("text is not null")
+    part = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")]).where("text is not null")  # no share, no sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -228,6 +229,7 @@ def languages(docs: DataFrame, model: Model | None = None, penalty: float = PENA
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("op5")
         for batch in batches:
             rows = list(shared.value.label([t or "" for t in batch.column(2).to_pylist()], penalty))
             yield pa.RecordBatch.from_pydict(
@@ -249,11 +251,13 @@ def in_known_languages(docs: DataFrame, model: Model | None = None, penalty: flo
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("op5")
         for batch in batches:
             rows = list(shared.value.label([t or "" for t in batch.column(names.index("text")).to_pylist()], penalty))
-            lang = batch.column(names.index("lang"))
-            filled = pa.array([a if a is not None else r[0] for a, r in zip(lang.to_pylist(), rows, strict=True)], lang.type)
-            columns = [filled if n == "lang" else batch.column(i) for i, n in enumerate(names)]
+            columns = list(batch.columns)
+            if "lang" in names:
+                lang = batch.column(names.index("lang"))
+                columns[names.index("lang")] = pa.array([a if a is not None else r[0] for a, r in zip(lang.to_pylist(), rows, strict=True)], lang.type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([r[0] != "und" and r[1] >= least for r in rows], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

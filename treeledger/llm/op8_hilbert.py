@@ -6,7 +6,10 @@ of the text (equal texts of one cell are neighbours) and doc_id; position in tha
 by one at most whatever the skew, and a cell that holds a third of the rows is simply cut.
 
 Only keys and sizes are shuffled, never texts. The order comes from a range partitioning whose rows are written
-once; the rows of its partitions are counted there and give each row's position.
+once; the rows of its partitions are counted there and give each row's position. Values of text dimensions are ranked the same way and joined, however many there are.
+
+Groups: equal texts with equal metadata are one cell and neighbours in it, so they share a shard unless a border falls among them, which the law of equal counts
+demands of large groups; equal texts with other metadata may lie elsewhere.
 
 Cases: a null text has no bytes (size 8, checksum 0); null metadata come first in their dimension; repeated rows
 each get their own slot; an empty table gives an empty table; other columns are ignored.
@@ -19,15 +22,13 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeledger.llm.common import Scratch, prepare
 
 BITS = 6
 SHARDS = 24
-#: A dimension of text with more distinct values than this is quantised by its first letters instead of by rank.
-MOST_VALUES = 10_000
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -59,24 +60,32 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def by_rank(df: DataFrame, name: str, bits: int) -> Column:
-    """Text column to 0 (null) .. 2**bits - 1 in the order of its values, each code with about as many rows.
+def in_order(df: DataFrame, key: list, scratch: Scratch, name: str, weight: str | None = None) -> tuple[DataFrame, int]:
+    """df with ``pos``, the rows (or the weights) before each row in the order of key, and their number in all.
 
-    The distinct values are counted on the executors; they come to the driver only if there are few.
+    One row for each partition of the order comes to the driver.
     """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The id holds the partition above its lower 33 bits and the row in the partition below; written, so later reads agree.
+    dealt = scratch.table(df.repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("at", 33)
+    sums = sorted(dealt.groupBy(part.alias("part")).agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("long").alias("n")).collect())
+    starts = [(r[0], before) for r, before in zip(sums, accumulate([0] + [r[1] for r in sums]), strict=False)]
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "part long, start long"))
+    if weight:
+        own = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        inside = F.coalesce(F.sum(weight).over(own), F.lit(0))
+    else:
+        inside = F.col("at").bitwiseAND((1 << 33) - 1)
+    return dealt.withColumn("part", part).withColumn("inside", inside).join(first, "part").withColumn("pos", F.col("start") + F.col("inside")).drop("part", "inside", "start", "at"), sum(r[1] for r in sums)
+
+
+def by_rank(df: DataFrame, name: str, bits: int, scratch: Scratch) -> DataFrame:
+    """(name, code): each value of a text column to 1 .. 2**bits - 1 in the order of values, each code with about as many rows."""
     top = (1 << bits) - 1
-    counts = df.where(F.col(name).isNotNull()).groupBy(name).count()
-    few = counts.limit(MOST_VALUES + 1).collect()
-    if len(few) > MOST_VALUES:
-        lead = F.rpad(F.substring(F.encode(F.col(name), "utf-8"), 1, 2), 2, F.unhex(F.lit("00")))
-        return F.coalesce(1 + F.floor(F.conv(F.hex(lead), 16, 10).cast("long") * top / 65536), F.lit(0)).cast("int")
-    few = sorted(few, key=lambda r: r[0].encode())
-    total = sum(r[1] for r in few)
-    before = accumulate([0] + [r[1] for r in few])
-    codes = {r[0]: 1 + min(top - 1, b * top // max(1, total)) for r, b in zip(few, before, strict=False)}
-    if not codes:
-        return F.lit(0)
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[F.col(name)], F.lit(0))
+    counts = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    ranked, total = in_order(counts, [name], scratch, f"ranks-{name}", "n")
+    return ranked.select(name, (1 + F.least(F.lit(top - 1), F.expr(f"pos * {top} div {max(1, total)}"))).cast("int").alias(f"{name}_code"))
 
 
 def shards(docs: DataFrame, n_shards: int = SHARDS, bits: int = BITS, overhead: int = 8) -> DataFrame:
@@ -94,7 +103,10 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, bits: int = BITS, overhead:
     rows = scratch.table(rows, "keys")
     top = (1 << bits) - 1
     size_code = F.least(F.lit(top), F.floor(F.log2(F.col("size") / overhead) * 4)).cast("int")
-    coded = rows.select("doc_id", "size", "text_crc32", size_code.alias("a"), by_rank(rows, "source", bits).cast("int").alias("b"), by_rank(rows, "lang", bits).cast("int").alias("c"))
+    for name in ("source", "lang"):
+        rows = rows.join(by_rank(rows, name, bits, scratch), name, "left")
+    code = lambda name: F.coalesce(F.col(f"{name}_code"), F.lit(0)).alias(name)
+    coded = rows.select("doc_id", "size", "text_crc32", size_code.alias("a"), code("source"), code("lang"))
 
     def curve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,20 +114,12 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, bits: int = BITS, overhead:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "size": batch.column(1), "text_crc32": batch.column(2), "curve": pa.array(hilbert(points, bits), pa.int64())})
 
     key = ["curve", "text_crc32", F.col("doc_id").asc_nulls_first()]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = coded.mapInArrow(curve, "doc_id long, size long, text_crc32 long, curve long").repartitionByRange(parts, *key).sortWithinPartitions(*key)
-    # The id holds the partition above its lower 33 bits and the row in the partition below; written, so later reads agree.
-    dealt = scratch.table(dealt.withColumn("at", F.monotonically_increasing_id()), "sorted")
-    counted = sorted(dealt.groupBy(F.shiftright("at", 33).alias("p")).count().collect())  # one row for each partition
-    total = sum(r[1] for r in counted)
-    starts = dict(zip([r[0] for r in counted], accumulate([0] + [r[1] for r in counted]), strict=False))
-    first = F.create_map(*[F.lit(x) for p, n in (starts or {0: 0}).items() for x in (F.lit(p).cast("long"), F.lit(n).cast("long"))])
-    scratch.drop("keys")
+    dealt, total = in_order(coded.mapInArrow(curve, "doc_id long, size long, text_crc32 long, curve long"), key, scratch, "sorted")
+    scratch.clear("sorted")
     whole, more = divmod(total, n_shards)
-    position = first[F.shiftright("at", 33)] + F.col("at").bitwiseAND((1 << 33) - 1)
     long_rows = more * (whole + 1)
     shard = F.when(F.col("pos") < long_rows, F.expr(f"pos div {whole + 1}")).otherwise(more + F.expr(f"(pos - {long_rows}) div {max(1, whole)}"))
     slot = F.when(F.col("pos") < long_rows, F.expr(f"pos % {whole + 1}")).otherwise(F.expr(f"(pos - {long_rows}) % {max(1, whole)}"))
-    return dealt.withColumn("pos", position).select(
+    return dealt.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve"
     )
