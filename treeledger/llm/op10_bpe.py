@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from treeledger.llm.common import chunks, prepare
+from treeledger.llm.common import at_work, chunks, prepare
 
 #: Fixed by the vocabulary's format: how byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -350,6 +350,7 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False, with
     schema = "doc_id long, n_tokens long" + ", ids array<int>" * with_ids + ", ids_sha256 string, decoded_sha256 string" * digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("op10", _CODECS.clear)
         c = codec(vocabulary(path))
         for batch in batches:
             ids, offsets, n, a, b = [], [0], [], [], []

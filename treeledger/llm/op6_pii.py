@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.llm.boosting import BoostedTrees, platt, sigmoid
-from treeledger.llm.common import prepare
+from treeledger.llm.common import at_work, prepare
 
 #: In the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "key", "token", "iban", "ssn", "local", "mac", "written", "secret")
@@ -55,8 +55,9 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?
 # Whatever follows a word that names a secret; the value is looked ahead at, so that it can itself be such a word.
 _SECRET = re.compile(r"""(?i)(?:passw\w{0,16}|passphrase|passcode|pwd|secret|token|credential|bearer|(?<![a-z])(?:pass|pin|auth\w{0,16}|(?:\w{1,16}[_-]|api|access|private)?key))s?(?![a-z])["'`)\]]{0,2}(?:\s{0,4}(?:[:=]{1,2}>?|\bis\b)\s{0,4}|\s{1,4})["'`(\[]{0,2}(?=([^\s"'`<>,;]++))""")
 _ASSIGNED = re.compile(r"""[:=]>?\s{0,4}["'`(\[]{0,2}\Z""")
-#: A sign that a text can hold a span of the other kinds at all: a digit, an address written out, a word that names a secret, or a long run.
-_WORTH = re.compile(r"(?i)[0-9]|[(\[]at[)\]]|pass|pwd|pin|secret|token|credential|auth|bearer|key|[a-z_/+=-]{24}")
+_DIGIT = re.compile("[0-9]")
+#: One of these is in every word that names a secret, however it is written (dotless i counts as i).
+_SECRET_SIGNS = ("pass", "pwd", "secret", "token", "credential", "bearer", "pin", "auth", "key", "\u0131")
 _CUE = re.compile(r"(?i)(?:token|secret|passw\w*|key|api|auth\w*|bearer|ssn|iban|account|tel|phone|call|mac)\W{0,6}\Z")
 
 
@@ -85,6 +86,8 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, passes its rule), each kind leftmost and not overlapping."""
     out = [(0, a, b, True) for a, b in emails(text)] if "@" in text else []
+    if not _DIGIT.search(text):
+        return out
     for m in _IP.finditer(text):
         out.append((1, *m.span(), all(len(p.lstrip("0")) < 4 and int(p[-12:]) <= 255 for p in m[0].split("."))))
     for m in _CARD.finditer(text):
@@ -115,16 +118,22 @@ def ibans(text: str) -> list[tuple[int, int]]:
 
 
 def more_candidates(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the kinds that the trees judge; they may overlap."""
+    """(kind, start, end) of the kinds that the trees judge; they may overlap. A pattern is only tried on a text with the signs that it needs."""
     out = []
+    folded = text.casefold()
+    digit = _DIGIT.search(text) is not None
+    needs = {7: digit, 8: digit, 9: text.count(":") >= 5, 10: "(at" in folded or "[at" in folded}
     for kind, pattern in _MORE:
-        for m in pattern.finditer(text):
-            out.append((kind, *m.span()))
-    out += [(6, a, b) for a, b in ibans(text)]
-    for m in _SECRET.finditer(text):
-        value = m[1].rstrip(".:!?)]")
-        if value:
-            out.append((11, m.start(1), m.start(1) + len(value)))
+        if needs.get(kind, True):
+            for m in pattern.finditer(text):
+                out.append((kind, *m.span()))
+    if digit:
+        out += [(6, a, b) for a, b in ibans(text)]
+    if any(sign in folded for sign in _SECRET_SIGNS):
+        for m in _SECRET.finditer(text):
+            value = m[1].rstrip(".:!?)]")
+            if value:
+                out.append((11, m.start(1), m.start(1) + len(value)))
     return out
 
 
@@ -200,8 +209,6 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAM
         for batch in batches:
             rows, names, order = [], [], []
             for text in batch.column(1).to_pylist():
-                if not _WORTH.search(text) and "@" not in text:
-                    continue
                 spans = [(k, a, b, ok) for k, a, b, ok in base_candidates(text)] + [(*s, None) for s in more_candidates(text)]
                 for kind, a, b, ok in spans:
                     rows.append(features(text, kind, a, b))
@@ -223,11 +230,8 @@ def spans_of(texts: list[str], chooser: Selector) -> tuple[list[list[tuple[int,
     for i, text in enumerate(texts):
         base.append([])
         more.append([])
-        worth = _WORTH.search(text) is not None
-        if not worth and "@" not in text:
-            continue
         base[i] = sorted((a, k, b) for k, a, b, ok in base_candidates(text) if ok)
-        if worth and chooser.trees:
+        if chooser.trees:
             for k, a, b in more_candidates(text):
                 asked.append((i, k, a, b))
                 x.append(features(text, k, a, b))
@@ -266,6 +270,7 @@ def personal(docs: DataFrame, chooser: Selector | None = None, digests: bool = F
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, spans string" + ", base_sha256 string" * digests + ", redacted string" * redacted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("op6")
         for batch in batches:
             given = batch.column(1).to_pylist()
             base, more = spans_of([t or "" for t in given], model.value)
@@ -288,6 +293,7 @@ def without_personal(docs: DataFrame, chooser: Selector | None = None) -> DataFr
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("op6")
         for batch in batches:
             given = batch.column(names.index("text")).to_pylist()
             base, more = spans_of([t or "" for t in given], model.value)
