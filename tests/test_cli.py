@@ -4,6 +4,7 @@ import importlib
 import sys
 
 from treeledger.cli import run
+from treeledger.store import Store
 
 
 def test_commands(spark, tmp_path, capsys):
@@ -31,6 +32,10 @@ def test_commands(spark, tmp_path, capsys):
     assert "commit 0 0" in do("gc", "--dry-run")[1]
     do("checkout", "both", str(tmp_path / "out"))
     assert (tmp_path / "out/g").read_text() == "two"
+    tree = Store(spark, str(tmp_path / "r")).tree_of("both")
+    assert tree in do("show", "both")[1]
+    do("checkout-tree", tree, str(tmp_path / "tree"))
+    assert (tmp_path / "tree/g").read_text() == "two"
 
 
 def test_every_oracle_has_a_query():

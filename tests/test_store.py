@@ -3,6 +3,7 @@
 import pytest
 
 from treeledger import errors as E
+from treeledger.functions.text import remote_parts
 from treeledger.operators import refs
 from treeledger.schema import SOURCE_FILES
 from treeledger.sources.directory import id_map_rows
@@ -32,3 +33,14 @@ def test_artifacts_ids_and_lock(spark, tmp_path):
         store.write_ref("x", "0" * 64)
     with pytest.raises(E.InvalidRef):
         store.write_ref("a//b", "0" * 64)
+    assert store.ref_exists("main") and not store.ref_exists("x")
+    for bad in ("0" * 63, "g" * 64, ""):
+        with pytest.raises(E.InvalidHashHex):
+            store.exists("blobs", bad)
+
+
+def test_remote_addresses():
+    assert remote_parts("me@host") == ("me", "host") and remote_parts("host") == (None, "host")
+    for bad in ("", "me@", "@host"):
+        with pytest.raises(E.RemoteNotFound):
+            remote_parts(bad)

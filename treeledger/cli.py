@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from treeledger.errors import LedgerError
 from treeledger.functions.text import short_line
+from treeledger.functions.hashing import checked_hash
 from treeledger.operators import checkout, diff, history, listing, reach, refs, remap, transfer, usage
 from treeledger.operators.refs import ARTIFACTS, HEADS
 from treeledger.store import Store
@@ -32,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     command("init")
     command("commit", "source", "ref", message="", author="unknown", metadata="")
     command("checkout", "ref", "target", force=False)
+    command("checkout-tree", "tree", "target", force=False)
     command("log", "ref", max_count=0)
     command("ls-tree", "ref", path=None, recursive=False, long=False, human=False)
     command("diff", "old", "new")
@@ -82,6 +84,10 @@ def _checkout(spark, store, a):
     checkout.write(checkout.manifest(store.paths(a.ref), store.table("blobs")), a.target, a.force)
 
 
+def _checkout_tree(spark, store, a):
+    checkout.write(checkout.manifest(store.paths_of_tree(checked_hash(a.tree)), store.table("blobs")), a.target, a.force)
+
+
 def _log(spark, store, a):
     for row in history.log_lines(history.log(store.table("commits"), store.resolve(a.ref), a.max_count or None)).collect():
         print(row["text"])
@@ -162,7 +168,7 @@ def _show_commit(spark, store, a):
     if a.key:
         print(history.metadata(store.table("commits"), hash_, a.key))
     else:
-        _show(history.shown(store.table("commits").where(F.col("hash") == hash_)), "hash", "author", "timestamp", "message", "metadata")
+        _show(history.shown(store.table("commits").where(F.col("hash") == hash_)), "hash", "tree", "author", "timestamp", "message", "metadata")
         _show(listing.children(store.paths(hash_)).select(short_line().alias("line")), "line")
 
 
@@ -180,7 +186,7 @@ def _names(spark, store, a):
 
 
 _COMMANDS = {
-    "commit": _commit, "checkout": _checkout, "log": _log, "ls-tree": _ls_tree, "diff": _diff, "union": _union, "union-checkout": _union_checkout, "fsck": _fsck,
+    "commit": _commit, "checkout": _checkout, "checkout-tree": _checkout_tree, "log": _log, "ls-tree": _ls_tree, "diff": _diff, "union": _union, "union-checkout": _union_checkout, "fsck": _fsck,
     "gc": lambda s, store, a: _show(store.gc(a.dry_run), "object_type", "removed", "bytes"), "stats": _stats, "du": _du,
     "truncate-history": lambda s, store, a: print(store.truncate_history(a.dry_run)), "remap": _remap,
     "push": lambda s, store, a: print(transfer.push(store, Store(s, a.other), a.ref, a.force, a.dry_run)),

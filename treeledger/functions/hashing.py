@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from treeledger.errors import InvalidHashHex
 from treeledger.schema import SYMLINK_MODE
 
 #: Digits of the hash of a name that choose the bucket of a directory entry.
@@ -100,5 +103,17 @@ def is_hash(c: str | Column) -> Column:
     return col(c).rlike("^[0-9a-fA-F]{64}$")
 
 
+def hash_path(c: str | Column) -> Column:
+    """Where a store of files keeps an object: the first two digits, then the rest."""
+    return F.concat_ws("/", F.substring(col(c), 1, 2), F.substring(col(c), 3, 62))
+
+
+def checked_hash(text: str) -> str:
+    """64 hex digits in lower case; anything else raises."""
+    if not re.fullmatch("[0-9a-fA-F]{64}", text):
+        raise InvalidHashHex(text)
+    return text.lower()
+
+
 def short(c: str | Column) -> Column:
     return F.substring(col(c), 1, 12)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from treeledger.errors import InvalidConflictResolution, InvalidRef
+from treeledger.errors import InvalidConflictResolution, InvalidRef, RemoteNotFound
 from treeledger.functions.hashing import col, short
 
 #: What a short listing shows for each kind.
@@ -63,6 +63,14 @@ def policy(text: str) -> str:
     return text.lower()
 
 
+def remote_parts(address: str) -> tuple[str | None, str]:
+    """(user, host) of user@host; without a user the host alone, and an empty part raises."""
+    user, at, host = address.rpartition("@")
+    if not host or at and not user:
+        raise RemoteNotFound(address)
+    return user or None, host
+
+
 def kind_of_mode(mode: str | Column) -> Column:
     """The kind that a mode's type bits name; regular if none."""
     return choose(col(mode).bitwiseAND(0o170000), {k: v[1] for k, v in TYPE_BITS.items()}, F.lit("regular"))

@@ -282,6 +282,8 @@ DAMAGED_NESTED = NESTED + """, kept AS (SELECT * FROM entries WHERE n = 1 AND up
         UNION ALL SELECT 'dangling', 'tree', hash, '' FROM trees WHERE hash NOT IN (SELECT hash FROM reached) UNION ALL SELECT 'dangling', 'blob', hash, '' FROM blobs WHERE hash NOT IN (SELECT hash FROM uses)) """
 ORACLE_SQL |= {
     "reachable_commits_doubled": ORACLE_SQL["reachable_commits"],
+    "hash_paths": f"SELECT doc_id, substr(hash, 1, 2) || '/' || substr(hash, 3) AS place FROM ({ORACLE_SQL['blob_hashes']})",
+    "log_positions": f"SELECT row_number() OVER (ORDER BY timestamp DESC, hash) AS pos, hash FROM ({LOG}) QUALIFY pos <= 500",
     "flatten_tree": f"WITH {snapshot(1)}, {merkle('v1', 'm')} SELECT path, kind, hash FROM m WHERE path <> ''",
     "fsck_nested": DAMAGED_NESTED + "SELECT * FROM report",
     "fsck_counts": DAMAGED_NESTED + """SELECT (SELECT count(*) FROM trees) + (SELECT count(*) FROM blobs) + 1 AS objects_checked, count_if(status = 'corrupt')::BIGINT AS corrupt, count_if(status = 'missing')::BIGINT AS missing,

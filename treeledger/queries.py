@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger import fixtures as X
-from treeledger.functions.hashing import artifact_hash, as_bytes, blob_hash, commit_hash, symlink_hash
+from treeledger.functions.hashing import artifact_hash, as_bytes, blob_hash, commit_hash, hash_path, symlink_hash
 from treeledger.functions.text import human_size, long_line, short_line
 from treeledger.operators import diff as D
 from treeledger.operators import history as H
@@ -50,6 +50,20 @@ def symlink_hashes(s, d):
     return docs.select("doc_id", symlink_hash(_owner(), _owner(), F.concat(F.lit("../"), F.col("doc_id").cast("string"))).alias("hash"))
 
 
+@query
+def hash_paths(s, d):
+    """Where a store of files would keep each document's blob."""
+    return blob_hashes(s, d).select("doc_id", hash_path("hash").alias("place"))
+
+
+@query
+def log_positions(s, d):
+    """The newest 500 entries in the order in which the log gives them; its order, not only its rows."""
+    history, head = _head(s, d, 7)
+    rows = [r["hash"] for r in H.log(history, head, 500).select("hash").collect()]
+    return s.createDataFrame([(i, h) for i, h in enumerate(rows, 1)], "pos long, hash string")
+
+
 @query
 def blob_dedup(s, d):
     return X.hashed(X.files_v1(s, d)).groupBy("hash").agg(F.max("length").alias("length"), F.count(F.lit(1)).alias("n"))

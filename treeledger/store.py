@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.errors import CorruptObject, DuplicateEntryName, InvalidEntryName, LockContention, NoRepo, ObjectNotFound, RefNotFound, RemoteExists, RemoteNotFound, RepoExists
-from treeledger.functions.hashing import artifact_hash
+from treeledger.functions.hashing import artifact_hash, checked_hash
 from treeledger.functions.text import ref_name_ok
 from treeledger.operators import ingest, reach, refs
 from treeledger.operators.refs import HEADS
@@ -93,7 +93,10 @@ class Store:
 
     def exists(self, name: str, hash_: str) -> bool:
         """Whether a table of objects holds a hash."""
-        return not self.table(name).where(F.col("hash") == hash_).isEmpty()
+        return not self.table(name).where(F.col("hash") == checked_hash(hash_)).isEmpty()
+
+    def ref_exists(self, name: str, namespace: str = HEADS) -> bool:
+        return not self.refs(namespace).where(F.col("name") == name).isEmpty()
 
     def objects(self) -> DataFrame:
         """(object_type, hash) of all that is stored."""
@@ -110,7 +113,7 @@ class Store:
 
     def read_artifact(self, hash_: str) -> dict:
         """An artifact whose content gives its hash."""
-        row = self.table("artifacts").where(F.col("hash") == hash_).withColumn("made", artifact_hash()).first()
+        row = self.table("artifacts").where(F.col("hash") == checked_hash(hash_)).withColumn("made", artifact_hash()).first()
         if row is None:
             raise ObjectNotFound(hash_)
         if row["made"] != hash_:
