@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from treeledger.llm.common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
-    """(node, label): the smallest node reachable, for every node of the edges (a, b).
+def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int | None = None) -> DataFrame:
+    """(node, label): the smallest node reachable, for every node of the edges (a, b). After ``rounds``, if given, a label is some node reachable.
 
     Each round every node takes the smallest label among its neighbours and hands it to the root it pointed to, so whole basins
     are hooked at once; then it takes the label of its label (pointer jumping). Rounds grow with the logarithm of a chain (12 for
@@ -21,7 +21,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     both = scratch.table(both, f"{name}-edges")
     labels = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-0")
     k, changed = 0, 1
-    while changed:
+    while changed and (rounds is None or k <= rounds):
         k += 1
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         step = scratch.table(labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label")), f"{name}-{k}-near")

@@ -3,16 +3,17 @@
 A document is its set of word n-gram hashes. Two sets of Jaccard similarity t or more differ in few elements for
 their size. So in a band of sizes the hash space is cut into some more parts than elements can differ; two linked sets of the band
 agree in one whole part at least, and the content of a part is hashed to a tile. A set whose upper size bound reaches the next
-band also joins that band's tiles. Sets in one tile are candidates:
+band also joins that band's tiles. Tiles are dealt to buckets by hash as packed arrays (12 bytes for each set and tile), and a bucket is read
+as a stream that remembers one set of each tile; what comes out are the tiles that different sets share. Sets in one tile are candidates:
 
 1. in every tile all sets are held against one centre (the set that shares the largest tiles), which joins up a group of near
    copies with as many comparisons as it has members;
-2. tiles whose members are joined already are done. In the rest, blocks of members are compared by bitmaps: the
-   count of bits that differ bounds the overlap from above, and only pairs whose bound reaches the threshold go on;
-3. these are decided by intersecting the sorted arrays.
+2. tiles whose members are joined already are done. In the rest, blocks of members are compared with each other;
+3. in both, sets are compared by bitmaps: the count of bits that differ bounds the overlap from above. Only for pairs whose bound reaches the
+   threshold are the sorted arrays made, from the texts again, and intersected. Pairs of one centre are decided in blocks, each of which gets its array once.
 
-Equal sets are one node, named by a hash of the set, so copies cost nothing beyond the first pass. Nothing of a group comes together in one
-task unless it has been cut into blocks, and no element, pair or component goes to the driver.
+Equal sets are one node, named by a hash of the set, and tiles with the same members are one tile, so copies and common passages cost little
+beyond the first pass. Nothing of a group comes together in one task unless it has been cut into blocks, and no element, pair or component goes to the driver.
 
 Cases: null or wordless text has an empty set and is a component of its own; a text of fewer than n words is one
 shingle of all its words; repeated doc_ids share a component if their texts link; null doc_ids don't count as smallest unless there is
@@ -29,20 +30,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import Scratch, byte_rows, byte_table, chunks, mix, prepare, run_hashes, words_of
+from treeledger.llm.common import Scratch, at_work, byte_rows, byte_table, chunks, flagged, flags_of, mix, prepare, run_hashes, words_of
 from treeledger.llm.components import components
 
 WORDS = 3
 THRESHOLD = (90, 100)
 #: Upper size of a band over its lower size.
 BAND = 1.3
+#: Parts that may be empty, besides one, as a share of the elements in which linked sets can differ.
+SPARE = 0.15
 #: Members of a tile that are compared with each other at once.
 BLOCK = 1024
-#: Bits of the filter that keeps the sets which are candidates at all; a fixed size.
-FILTER_BITS = 1 << 22
+#: Pairs of one centre that are decided together.
+CENTRE_BLOCK = 256
+#: Entries (a set in a tile) of a bucket, and entries that a task holds before it deals them out or merges them.
+BUCKET_ENTRIES = 500_000
+HELD_ENTRIES = 1_000_000
 
 _TABLE = byte_table(bytes([0x20, *range(0x09, 0x0E)]))
-_SPARE = 1
 
 
 def bands(limit: int = 1 << 40) -> np.ndarray:
@@ -81,7 +86,10 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
         for i in range(b - a):
             lo, hi = int(firsts[i]), int(firsts[i + 1])
             if hi - lo >= words:
-                out.append(np.unique(rows[lo : hi - words + 1]))
+                one = np.sort(rows[lo : hi - words + 1])
+                new = np.ones(len(one), bool)
+                np.not_equal(one[1:], one[:-1], out=new[1:])
+                out.append(one[new])
             elif hi > lo:
                 value = np.full(1, hi - lo, np.uint64)
                 for k in range(lo, hi):
@@ -98,7 +106,12 @@ def node_of(s: np.ndarray) -> int:
 
 
 def tiles_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The tiles of a set: in its own band, and in the next if a linked set can lie there."""
+    """The tiles of a set: in its own band, and in the next if a linked set can lie there.
+
+    Linked sets agree in more parts than are spare. Parts where both hold nothing tell nothing and make no tile; so if no more than the spare ones
+    are empty in either set, a part with something agrees. A set with more empty parts also has a tile for each of its smallest elements, of which linked
+    sets share one: each has all but ceil(t n) - 1 of them.
+    """
     size = len(s)
     if not size:
         return np.zeros(0, np.int64)
@@ -107,26 +120,28 @@ def tiles_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(0x5DEECE66D)), dtype=np.uint64)])
     top = (s >> np.uint64(32)).astype(np.int64)
     for band in [own] + [b for b in range(own + 1, len(_LOWS)) if size * den >= num * int(_LOWS[b])]:
-        parts = differing(int(_LOWS[band + 1]) - 1, num, den) + 1 + _SPARE
+        apart = differing(int(_LOWS[band + 1]) - 1, num, den)
+        spare = 1 + math.ceil(SPARE * apart)
+        parts = apart + 1 + spare
         edges = (np.arange(parts + 1, dtype=np.int64) << 32) // parts
         cuts = np.searchsorted(top, edges)
         seed = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        sig = mix(sums[cuts[1:]] - sums[cuts[:-1]] + mix(np.arange(parts, dtype=np.uint64) + seed))
-        full = cuts[1:] > cuts[:-1]
-        # Linked sets agree in 1 + _SPARE parts; with so few empty parts one of them holds something.
-        out.append(sig[full] if parts - full.sum() <= _SPARE else sig)
+        full = np.flatnonzero(cuts[1:] > cuts[:-1])
+        out.append(mix(sums[cuts[full + 1]] - sums[cuts[full]] + mix(full.astype(np.uint64) + seed)))
+        if parts - len(full) > spare:
+            out.append(mix(s[: size - -(-num * size // den) + 1] + mix(np.array([seed], np.uint64))))
     return np.concatenate(out).view(np.int64)
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the elements by hash, in 64-bit words; as wide as the band needs (at least half as many bits as elements)."""
+    """Parity of the elements by hash, in 64-bit words; as wide as the band needs (at least twice as many bits as elements)."""
     band = int(np.searchsorted(_LOWS, len(s), side="right")) - 1
     return bits_in(s, width_of(band))
 
 
 def width_of(band: int) -> int:
     """Bits of the bitmaps in a tile of this band."""
-    return max(256, 1 << math.ceil(math.log2(max(2, int(_LOWS[band + 1]) / 2))))
+    return max(256, 1 << math.ceil(math.log2(2 * int(_LOWS[band + 1]))))
 
 
 def bits_in(s: np.ndarray, width: int) -> np.ndarray:
@@ -153,77 +168,178 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * overlap >= num * (len(a) + len(b) - overlap)
 
 
+def packed(tiles: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, tiles, nodes): a row for each bucket, with 32 bits of each tile's hash; that different tiles may agree in them makes candidates, never links."""
+    bucket = ((tiles.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket)
+    sorted_ = bucket[order]
+    lead = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    edges = np.append(lead, len(order)).astype(np.int32)
+    column = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(lead), [None, pa.py_buffer(edges * np.int32(x.itemsize)), pa.py_buffer(x)])
+    return pa.RecordBatch.from_arrays([pa.array(sorted_[lead], pa.int64()), column(tiles[order].view(np.uint64).astype(np.uint32)), column(nodes[order])], ["bucket", "tiles", "nodes"])
+
+
+def merged(tiles: np.ndarray, nodes: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """((tile, its smallest node) for each tile, (tile, node) of tiles that have different nodes)."""
+    order = np.argsort(tiles)
+    tiles, nodes = tiles[order], nodes[order]
+    new = np.ones(len(tiles), bool)
+    np.not_equal(tiles[1:], tiles[:-1], out=new[1:])
+    lead = np.flatnonzero(new)
+    least = np.minimum.reduceat(nodes, lead)
+    many = np.repeat(least != np.maximum.reduceat(nodes, lead), np.diff(lead, append=len(tiles)))
+    return (tiles[lead], least), (tiles[many], nodes[many])
+
+
+def in_reach(x: bytes, y: bytes, n: int, m: int, num: int, den: int) -> bool:
+    """Whether bitmaps x and y of sets of n and m elements allow the threshold: bits that differ are elements that differ, at least."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    words = min(len(a), len(b))
+    both = n + m - int(np.bitwise_count(fold(a, words) ^ fold(b, words)).sum())  # twice the overlap, at most
+    return den * both >= num * (2 * (n + m) - both)
+
+
 class Join:
     """The steps of the join over one table of documents, each written to the shared folder."""
 
-    def __init__(self, docs: DataFrame, words: int, num: int, den: int):
+    def __init__(self, docs: DataFrame, words: int, num: int, den: int, scratch: Scratch | None = None):
         self.spark = prepare(docs.sparkSession)
-        self.scratch = Scratch(self.spark)
+        self.scratch = scratch or Scratch(self.spark)
         self.words, self.num, self.den = words, num, den
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def documents(self) -> DataFrame:
-        """(doc_id, node, n, tiles); node is null for an empty set."""
-        words, num, den = self.words, self.num, self.den
+        """(doc_id, node, n, bits); node and bits are null for an empty set."""
+        words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at_work("op7")
             for batch in batches:
                 sets = shingle_sets(byte_rows(batch.column(1)), words)
-                out = {"doc_id": batch.column(0), "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64())}
-                yield pa.RecordBatch.from_pydict(out | {"tiles": pa.array([tiles_of(s, num, den) for s in sets], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "bits": pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())})
+
+        return self.scratch.table(self.texts.mapInArrow(run, "doc_id long, node long, n long, bits binary"), "docs")
 
-        return self.scratch.table(self.texts.mapInArrow(run, "doc_id long, node long, n long, tiles array<long>"), "docs")
+    def bitmaps(self, docs: DataFrame, members: DataFrame) -> DataFrame:
+        """(node, n, bits) of sets that share a tile."""
+        known = docs.where("n > 0").join(members.select("node").distinct(), "node", "left_semi")
+        return self.scratch.table(known.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bits")
 
     def members(self, docs: DataFrame) -> DataFrame:
-        """(tile, node, size): the tiles that two sets or more share."""
-        tiles = docs.where("n > 0").select(F.explode("tiles").alias("tile"), "node")
-        shared = tiles.groupBy("tile").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("tile", "size")
-        return self.scratch.table(tiles.join(shared, "tile").groupBy("tile", "node").agg(F.max("size").alias("size")), "members")
-
-    def sets(self, members: DataFrame) -> DataFrame:
-        """(node, n, bits, items) of nodes that share a tile, computed from the texts again; a filter of fixed size keeps other sets from being shuffled."""
-        at = F.col("node").bitwiseAND(FILTER_BITS - 1)
-        one = F.expr("shiftleft(1L, cast(node & 63 as int))")
-        flags = np.zeros(FILTER_BITS >> 6, np.int64)
-        for r in members.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(one).alias("b")).toLocalIterator():  # 65,536 rows at most
-            flags[r.w] = r.b
-        wanted = self.spark.sparkContext.broadcast(flags.view(np.uint64))
-        words = self.words
+        """(tile, node, size): the tiles that two sets or more share, one of those with the same members."""
+        words, num, den = self.words, self.num, self.den
+        elements = docs.agg(F.sum("n")).first()[0] or 0
+        buckets = max(1, math.ceil(elements * 2 * BAND * (1 + SPARE) * differing(100, num, den) / 100 / BUCKET_ENTRIES))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at_work("op7")
+            tiles: list[np.ndarray] = []
+            nodes: list[np.ndarray] = []
+            held = 0
+            for batch in batches:
+                met: set[int] = set()
+                for s in shingle_sets(byte_rows(batch.column(0)), words):
+                    if len(s) and (node := node_of(s)) not in met:
+                        met.add(node)
+                        tiles.append(tiles_of(s, num, den))
+                        nodes.append(np.full(len(tiles[-1]), node, np.int64))
+                        held += len(tiles[-1])
+                    if held >= HELD_ENTRIES:
+                        yield packed(np.concatenate(tiles), np.concatenate(nodes), buckets)
+                        tiles, nodes, held = [], [], 0
+            if held:
+                yield packed(np.concatenate(tiles), np.concatenate(nodes), buckets)
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bucket, state = -1, (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def merge() -> pa.RecordBatch:
+                nonlocal state, parts
+                state, shared = merged(*(np.concatenate([state[k], *(p[k] for p in parts)]) for k in (0, 1)))
+                parts = []
+                return pa.RecordBatch.from_pydict({"tile": pa.array(shared[0].astype(np.int64) | bucket << 32, pa.int64()), "node": pa.array(shared[1], pa.int64())})
+
+            for batch in batches:
+                for k, b in enumerate(batch.column(0).to_pylist()):
+                    if b != bucket or sum(len(p[0]) for p in parts) >= HELD_ENTRIES:
+                        if parts:
+                            yield merge()
+                        if b != bucket:
+                            bucket, state = b, (state[0][:0], state[1][:0])
+                    parts.append((np.frombuffer(batch.column(1)[k].as_buffer(), np.uint32), np.frombuffer(batch.column(2)[k].as_buffer(), np.int64)))
+            if parts:
+                yield merge()
+
+        dealt = self.texts.select("text").mapInArrow(deal, "bucket long, tiles binary, nodes binary").repartition("bucket").sortWithinPartitions("bucket")
+        shared = self.scratch.table(dealt.mapInArrow(gather, "tile long, node long").distinct(), "shared")
+        # Tiles with the same members are one tile.
+        kinds = shared.groupBy("tile").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum")).groupBy("size", "sum").agg(F.min("tile").alias("tile"))
+        members = self.scratch.table(shared.join(kinds.select("tile", "size"), "tile"), "members")
+        self.scratch.drop("shared")
+        return members
+
+    def bounded(self, pairs: DataFrame, bits: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) whose sizes and bitmaps leave the threshold in reach."""
+        num, den = self.num, self.den
+        side = lambda x: bits.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, mask = wanted.value, FILTER_BITS - 1
             for batch in batches:
-                keep = []
+                na, nb, xs, ys = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+                keep = pa.array([in_reach(x, y, n, m, num, den) for n, m, x, y in zip(na, nb, xs, ys, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+        return sized.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
+
+    def sets(self, wanted: DataFrame, name: str) -> DataFrame:
+        """(node, items) of wanted nodes, computed from the texts again; a filter of bounded size keeps other sets from being shuffled."""
+        flags, words = flags_of(wanted, "node"), self.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at_work("op7")
+            known = flags.value
+            for batch in batches:
+                keep: dict[int, np.ndarray] = {}
                 for s in shingle_sets(byte_rows(batch.column(0)), words):
-                    if len(s):
-                        node = node_of(s)
-                        at = node & mask
-                        if int(known[at >> 6]) >> (at & 63) & 1:
-                            keep.append((node, s))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "node": pa.array([k for k, _ in keep], pa.int64()), "n": pa.array([len(s) for _, s in keep], pa.int64()),
-                        "bits": pa.array([bitmap(s).tobytes() for _, s in keep], pa.binary()), "items": pa.array([s.tobytes() for _, s in keep], pa.binary()),
-                    }
-                )
-
-        found = self.texts.select("text").mapInArrow(run, "node long, n long, bits binary, items binary")
-        return self.scratch.table(found.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("items").alias("items")), "sets")
-
-    def decided(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """The linked ones of pairs (a, b)."""
+                    if len(s) and flagged(known, node := node_of(s)):
+                        keep[node] = s
+                yield pa.RecordBatch.from_pydict({"node": pa.array(list(keep), pa.int64()), "items": pa.array([s.tobytes() for s in keep.values()], pa.binary())})
+
+        found = self.texts.select("text").mapInArrow(run, "node long, items binary")
+        table = self.scratch.table(found.groupBy("node").agg(F.first("items").alias("items")), name)
+        flags.unpersist()
+        return table
+
+    def decided(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The linked ones of pairs (a, b), in blocks of one b: its array comes once, each a's once for each pair."""
         num, den = self.num, self.den
-        left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-        right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-        sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
+        parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CENTRE_BLOCK).cast("int").alias("parts"))
+        dealt = self.scratch.table(pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")), f"{name}-pairs")
+        sets = self.sets(dealt.select(F.explode(F.array("a", "b")).alias("node")), f"{name}-sets")
+        self.scratch.release()
+        theirs = dealt.select("b", "part").distinct().join(sets.select(F.col("node").alias("b"), "items"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "items")
+        ours = dealt.join(sets.select(F.col("node").alias("a"), "items"), "a").select("b", "part", "a", "items")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at_work("op7")
+            centre = np.zeros(0, np.uint64)
             for batch in batches:
-                ia, ib = batch.column(2), batch.column(3)
-                ok = [linked(np.frombuffer(ia[i].as_py(), np.uint64), np.frombuffer(ib[i].as_py(), np.uint64), num, den) for i in range(len(ia))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
-
-        return self.scratch.table(sized.join(left.drop("na"), "a").join(right.drop("nb"), "b").select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long"), name)
+                items, ids, ok = batch.column(3), batch.column(2), np.zeros(batch.num_rows, bool)
+                for i, a in enumerate(ids.to_pylist()):
+                    if a is None:
+                        centre = np.frombuffer(items[i].as_py(), np.uint64)
+                    else:
+                        ok[i] = linked(np.frombuffer(items[i].as_buffer(), np.uint64), centre, num, den)
+                keep = pa.array(ok, pa.bool_())
+                yield pa.RecordBatch.from_arrays([ids.filter(keep), batch.column(0).filter(keep)], ["a", "b"])
+
+        blocks = theirs.unionByName(ours).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+        out = self.scratch.table(blocks.mapInArrow(run, "a long, b long"), name)
+        self.scratch.drop(f"{name}-pairs", f"{name}-sets")
+        self.scratch.release()
+        return out
 
     def centre_pairs(self, members: DataFrame) -> DataFrame:
         """Every member of a tile against the tile's centre."""
@@ -231,13 +347,13 @@ class Join:
         centres = members.join(reach, "node").groupBy("tile").agg(F.max(F.struct("reach", "node")).alias("c")).select("tile", F.col("c.node").alias("b"))
         return members.join(centres, "tile").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
-    def tile_pairs(self, members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    def tile_pairs(self, members: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
         """Pairs that share a tile, are not joined yet, and whose bitmaps leave the threshold in reach."""
         num, den = self.num, self.den
         known = members.join(labels, "node", "left").select("tile", "node", F.coalesce("label", "node").alias("label"))
         open_tiles = known.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("tile", "size")
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = known.join(open_tiles, "tile").join(sets.select("node", "n", "bits"), "node").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        rows = known.join(open_tiles, "tile").join(bits, "node").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "bits")
 
         def compare(tile: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -253,9 +369,9 @@ class Join:
                 if i != j:
                     ys = ys[own[ys] != own[x]]
                 if len(ys):
-                    apart = np.bitwise_count(bits[ys] ^ bits[x]).sum(1, dtype=np.int64)
-                    both = n[ys] + n[x]
-                    ys = ys[2 * den * (both - apart) // 2 >= num * (2 * both - (both - apart))]
+                    every = n[ys] + n[x]
+                    both = every - np.bitwise_count(bits[ys] ^ bits[x]).sum(1, dtype=np.int64)
+                    ys = ys[den * both >= num * (2 * every - both)]
                     for y in ys.tolist():
                         yield min(node[x], node[y]), max(node[x], node[y])
 
@@ -276,24 +392,27 @@ class Join:
         return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def near(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id; linked if Jaccard similarity is threshold[0] / threshold[1] or more."""
-    job = Join(docs, words, *threshold)
+    job = Join(docs, words, *threshold, scratch)
     scratch = job.scratch
     found = job.documents()
     members = job.members(found)
-    sets = job.sets(members)
-    first = job.decided(job.centre_pairs(members), sets, "centre-links")
-    labels = components(first, scratch, "first")
-    pairs = scratch.table(job.tile_pairs(members, labels, sets), "pairs")
-    more = job.decided(pairs, sets, "tile-links")
-    if not more.isEmpty():
-        labels = components(first.union(more), scratch, "all")
-    scratch.drop("members", "sets", "pairs", "centre-links", "tile-links")
+    scratch.release()
+    bits = job.bitmaps(found, members)
+    pairs = scratch.table(job.bounded(job.centre_pairs(members), bits), "centre-pairs")
+    first = job.decided(pairs, "centre-links")
+    labels = components(first, scratch, "first", rounds=1)  # enough to tell most tiles that are joined; the rest is compared
+    pairs = scratch.table(job.tile_pairs(members, labels, bits), "pairs")
+    scratch.release()
+    links = first if pairs.isEmpty() else first.union(job.decided(pairs, "tile-links"))
+    labels = components(links, scratch, "all")
     rows = found.join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("component"))
     # Written, so that the join below has exchanges of its own, which Spark can split at a hot component.
     least = scratch.table(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
-    return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    out = scratch.table(rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")), "near")
+    scratch.clear("near")
+    return out
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -303,9 +422,10 @@ def one_of_each(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int]
     """
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark)
-    groups = scratch.table(near(docs, words, threshold).where("doc_id is not null"), "groups")
+    groups = near(docs, words, threshold, scratch).where("doc_id is not null")
     kept = docs.join(scratch.table(groups.where("doc_id <> component_id").select("doc_id").distinct(), "left-out"), "doc_id", "left_anti")
     again = scratch.table(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    scratch.drop("near")
     if not again.isEmpty():
         kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return kept.select(docs.columns)
