@@ -110,26 +110,33 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _shaped(with_parents(_shaped(files), 0, 0, 16877)), files.select("hash", F.col("size").alias("length")).dropDuplicates(["hash"])
 
 
-def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, user_id, ts, event_type, k, first, second): first and second hold the event ids of the parents, null if there is none. No hash is moved."""
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    own = W.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = events.withColumn("first", F.lag(F.struct("event_id")).over(own))
+    # The latest event of user_id + 1 before a purchase: both kinds in one window, as an as-of join without a join; purchases keep their columns.
+    asking = F.coalesce((F.col("event_type") == "purchase") & F.col("user_id").isNotNull(), F.lit(False))
+    asks = rows.where(asking).select((F.col("user_id") + 1).alias("u"), F.lit(1).alias("ask"), F.lit(None).cast("struct<event_id:long>").alias("had"), *rows.columns)
+    have = events.select(F.col("user_id").alias("u"), F.lit(0).alias("ask"), F.struct(F.col("event_id").cast("long").alias("event_id")).alias("had"), F.lit(None).cast("long").alias("event_id"), "ts", F.col("event_id").alias("had_id"))
+    before = W.partitionBy("u").orderBy("ts", F.desc("ask"), "had_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    second = asks.unionByName(have, allowMissingColumns=True).withColumn("second", F.last("had", True).over(before)).where("ask = 1").select(*rows.columns, "second")
+    return second.unionByName(rows.where(~asking).withColumn("second", F.lit(None).cast("struct<event_id:long>")))
+
+
+def commits(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """(event_id, user_id, hash, tree, parents, ...): an event is a commit; its user's event before it is the first parent, and a purchase merges
-    the latest earlier event of the next user."""
-    events = read(spark, sf_dir, "events")
+    the latest earlier event of the next user. With once the events are linked once, for queries that read the history several times."""
+    rows = _linked(spark, sf_dir)
+    rows = written(rows) if once else rows
+    id_of = lambda c: F.sha2(as_bytes(F.concat(F.lit("commit "), F.col(c).cast("string"))), 256)
     tree = F.sha2(as_bytes(F.concat(F.lit("tree "), (F.col("event_id") % 500).cast("string"))), 256)
-    rows = events.select(
-        "event_id", "user_id", "ts", "event_type", F.sha2(as_bytes(F.concat(F.lit("commit "), F.col("event_id").cast("string"))), 256).alias("hash"), tree.alias("tree"),
-        F.get_json_object("props", "$.k").alias("k"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"),
-    )
-    own = W.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = rows.withColumn("first", F.lag("hash").over(own))
-    # The latest event of user_id + 1 before a purchase: both kinds in one window, as an as-of join without a join.
-    asks = rows.where("event_type = 'purchase'").select((F.col("user_id") + 1).alias("u"), "ts", F.lit(1).alias("ask"), F.col("event_id").alias("asker"), F.lit(None).cast("string").alias("h"))
-    have = rows.select(F.col("user_id").alias("u"), "ts", F.lit(0).alias("ask"), F.lit(None).cast("long").alias("asker"), F.col("hash").alias("h"))
-    before = W.partitionBy("u").orderBy("ts", F.desc("ask")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    second = asks.unionByName(have).withColumn("second", F.last("h", True).over(before)).where("ask = 1").select(F.col("asker").alias("event_id"), "second")
-    rows = rows.join(second, "event_id", "left")
-    parents = F.array_compact(F.array("first", "second"))
+    parents = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), id_of(f"{c}.event_id")) for c in ("first", "second"))))
     meta = F.when(F.col("k").isNotNull(), F.create_map(F.lit("k"), F.col("k"))).otherwise(F.create_map().cast("map<string,string>"))
-    return rows.select("event_id", "user_id", "ts", "hash", "tree", parents.alias("parents"), F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("author"), "timestamp", F.col("event_type").alias("message"), meta.alias("metadata"))
+    return rows.select(
+        "event_id", "user_id", "ts", id_of("event_id").alias("hash"), tree.alias("tree"), parents.alias("parents"), F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("author"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("event_type").alias("message"), meta.alias("metadata"),
+    )
 
 
 def heads(history: DataFrame) -> DataFrame:
@@ -147,9 +154,9 @@ def refs_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.unionByName(drops)
 
 
-def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """A damaged store over the history: trees of one to three blobs; some commits and blobs missing, some hashes wrong."""
-    history = commits(spark, sf_dir)
+def store(spark: SparkSession, sf_dir: str, history: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A damaged store over the history (made if not given): trees of one to three blobs; some commits and blobs missing, some hashes wrong."""
+    history = commits(spark, sf_dir) if history is None else history
     kept = history.where("event_id % 97 <> 0")
     n = history.select((F.col("event_id") % 500).alias("t")).distinct().select("t", F.sha2(as_bytes(F.concat(F.lit("tree "), F.col("t").cast("string"))), 256).alias("tree_hash"))
     slots = n.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("t") % 3).cast("int"))))

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeledger.plans.scratch import Scratch
@@ -53,27 +54,24 @@ class Graph:
         return seen
 
 
-def _small(pairs: DataFrame, limit: int) -> Graph | None:
+def _small(edges: DataFrame, limit: int) -> Graph | None:
     """The graph if it has few edges; they are counted before any is fetched."""
-    if pairs.count() > limit:
+    if edges.count() > limit:
         return None
-    prepare(pairs.sparkSession)
-    got = pairs.toArrow()
+    prepare(edges.sparkSession)
+    got = edges.select("child", "parent").distinct().toArrow()
     return Graph(*(pa.concat_arrays([pa.array([], pa.string()), *(x.cast(pa.string()) for x in got[c].chunks)]) for c in ("child", "parent")))
 
 
 def reachable(edges: DataFrame, starts: DataFrame, sent_edges: int = SENT_EDGES) -> DataFrame:
     """(root, node): every node reachable from the nodes of starts (root, node), themselves included.
 
-    A graph of few edges, counted first, is sent to the executors; each walks it for its roots. A larger one is closed by doubling.
+    A graph of few edges, counted first, is sent to the executors; each walks it for its roots. A larger one is cut into chains.
     """
-    scratch = Scratch(edges.sparkSession)
-    pairs = scratch.table(edges.select("child", "parent").distinct(), "pairs")
     roots = starts.select("root", "node").distinct()
-    graph = _small(pairs, sent_edges)
+    graph = _small(edges, sent_edges)
     if graph is None:
-        return _doubled(pairs, roots, scratch)
-    scratch.drop("pairs")
+        return Chains(edges).reachable(roots)
     shared = edges.sparkSession.sparkContext.broadcast(graph)
     kind = roots.schema["root"].dataType
 
@@ -109,13 +107,9 @@ def tested(edges: DataFrame, pairs: DataFrame, sent_edges: int = SENT_EDGES) ->
     Pairs are dealt by range, so one ``new`` with very many ``old`` is cut over tasks.
     """
     asked = pairs.select("old", "new").distinct()
-    known = Scratch(edges.sparkSession)
-    small = _small(known.table(edges.select("child", "parent").distinct(), "pairs"), sent_edges)
-    known.clear()
+    small = _small(edges, sent_edges)
     if small is None:
-        reach = reachable(edges, asked.select(F.col("new").alias("root"), F.col("new").alias("node")).distinct(), -1)
-        hit = reach.select(F.col("root").alias("new"), F.col("node").alias("old"), F.lit(True).alias("hit"))
-        return asked.join(hit, ["old", "new"], "left").select("old", "new", F.coalesce("hit", F.lit(False)).alias("ok"))
+        return Chains(edges).tested(asked)
     shared = edges.sparkSession.sparkContext.broadcast(small)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,21 +126,120 @@ def tested(edges: DataFrame, pairs: DataFrame, sent_edges: int = SENT_EDGES) ->
     return asked.repartitionByRange("new", "old").sortWithinPartitions("new", "old").mapInArrow(walk, "old string, new string, ok boolean")
 
 
-def _doubled(pairs: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """Reach by steps of 1, 2, 4 ... edges.
+def _packed(c: str) -> Column:
+    """A hash in half its length; other names as they are. No two names give the same bytes."""
+    return F.when(F.col(c).rlike(r"\A[0-9a-f]{64}\z"), F.concat(F.unhex(F.lit("00")), F.unhex(c))).otherwise(F.concat(F.unhex(F.lit("01")), F.col(c).cast("binary")))
 
-    ``jump`` holds the pairs that are exactly 2^k edges apart and nothing nearer, so a chain costs its length a round; as every distance is a
-    sum of such steps, reach is whole when no pair is so far apart. No path without a circle is longer than there are edges.
+
+def _unpacked(c: str) -> Column:
+    rest = F.substring(c, 2, (1 << 31) - 1)
+    return F.when(F.substring(c, 1, 1) == F.unhex(F.lit("00")), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
+class Chains:
+    """A large graph cut into chains, each commit with its first parent as far as that is no one else's.
+
+    What a root reaches of a chain is one position and all below it, so a root's reach is a row for each chain it meets instead of one for
+    each commit. Tables: ``points`` (id, packed, chain, at) and ``cross`` (chain, since, until, to, least): from positions since to until
+    (exclusive; null: the end) of a chain one gets to position ``least`` of the chain ``to`` and no higher.
     """
-    jump, reach = pairs.select(F.col("child").alias("x"), F.col("parent").alias("y")), roots
-    step, most, k = 1, pairs.count(), 0
-    while step <= most:
-        further = reach.join(jump, reach["node"] == jump["x"]).select("root", F.col("y").alias("node"))
-        reach = scratch.table(reach.union(further).distinct(), f"reach-{k}")
-        second = jump.select(F.col("x").alias("y"), F.col("y").alias("z"))
-        jump = scratch.table(jump.join(second, "y").select("x", F.col("z").alias("y")).distinct(), f"jump-{k}")
-        scratch.clear(f"reach-{k}", f"jump-{k}")
-        if jump.isEmpty():
-            break
-        step, k = 2 * step, k + 1
-    return reach
+
+    def __init__(self, edges: DataFrame):
+        self.scratch = Scratch(edges.sparkSession)
+        known = edges.where("child is not null and parent is not null")
+        nodes = self._numbered(known)
+        first = F.col("ord") == 0 if "ord" in edges.columns else F.lit(True)
+        pairs = known.select(self._id("child").alias("c"), self._id("parent").alias("p"), first.alias("first")).where("c <> p")
+        pairs = self._kept(pairs, "pairs")
+        self.points = self._placed(nodes, pairs)
+        self.cross = self._crossed(pairs)
+        self.scratch.drop("nodes", "pairs")
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        out = self.scratch.table(df, name)
+        del df
+        self.scratch.release()
+        return out
+
+    def _id(self, c: str) -> Column:
+        return F.xxhash64(F.lit(self.salt), F.col(c))
+
+    def _numbered(self, known: DataFrame) -> DataFrame:
+        """(id, packed) of all nodes. Ids are hashes; should two nodes get the same one, others are taken."""
+        ends = known.select(F.explode(F.array("child", "parent")).alias("node"))
+        self.salt = 0
+        while True:
+            nodes = self._kept(ends.select(self._id("node").alias("id"), _packed("node").alias("packed")).distinct(), "nodes")
+            if nodes.groupBy("id").count().where("count > 1").isEmpty():
+                return nodes
+            self.salt += 1
+
+    def _placed(self, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Distances to the end of each chain by doubling: a link for each node, whose number doesn't grow. Links in a circle have no end and are let go."""
+        one = pairs.where("first").groupBy("c").agg(F.min("p").alias("p"))
+        links = self._kept(one.groupBy("p").agg(F.min("c").alias("c")).select(F.col("c").alias("x"), F.col("p").alias("y"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("done")), "links-0")
+        most, k = links.count(), 0
+        while 1 << k <= 2 * most and not links.where("not done").isEmpty():
+            far = links.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("n").alias("more"), F.col("done").alias("ended"))
+            moved = links.where("not done").join(far, "y", "left").select("x", F.coalesce("z", "y").alias("y"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("ended", F.lit(True)).alias("done"))
+            k += 1
+            links = self._kept(links.where("done").unionByName(moved), f"links-{k}")
+            self.scratch.drop(f"links-{k - 1}")
+        ends = links.where("done").select(F.col("x").alias("id"), "y", "n")
+        placed = nodes.join(ends, "id", "left").select("id", "packed", F.coalesce("y", "id").alias("chain"), F.coalesce("n", F.lit(0)).alias("at"))
+        placed = self._kept(placed, "points")
+        self.scratch.drop(f"links-{k}")
+        return placed
+
+    def _crossed(self, pairs: DataFrame) -> DataFrame:
+        at = self.points.select("id", "chain", "at")
+        child = at.select(F.col("id").alias("c"), "chain", F.col("at").alias("since"))
+        parent = at.select(F.col("id").alias("p"), F.col("chain").alias("to"), F.col("at").alias("least"))
+        rows = pairs.select("c", "p").join(child, "c").join(parent, "p").where("to <> chain or least > since")
+        rows = rows.groupBy("chain", "to", "since").agg(F.max("least").alias("least"))
+        order = W.partitionBy("chain", "to").orderBy("since")
+        rows = rows.withColumn("before", F.max("least").over(order.rowsBetween(W.unboundedPreceding, -1))).where("before is null or least > before")
+        return self._kept(rows.select("chain", "since", F.lead("since").over(order).alias("until"), "to", "least"), "cross")
+
+    def _located(self, names: DataFrame) -> DataFrame:
+        """names (node) that the graph has, with chain and at."""
+        asked = names.select("node", self._id("node").alias("id"), _packed("node").alias("packed"))
+        return asked.join(self.points, ["id", "packed"]).select("node", "id", "chain", "at")
+
+    def _walked(self, starts: DataFrame) -> DataFrame:
+        """(root, chain, at): the highest position of each chain that each root of starts (root, chain, at) leads to. A round for each crossing of chains."""
+        k, names = 0, ["front-0"]
+        front = self._kept(starts.groupBy("root", "chain").agg(F.max("at").alias("at")), "front-0")
+        while not front.isEmpty():
+            seen = self.scratch.read(front.schema, *names).groupBy("root", "chain").agg(F.max("at").alias("had"))
+            near = front.join(self.cross, "chain").where("at >= since and (until is null or at < until)")
+            near = near.groupBy("root", F.col("to").alias("chain")).agg(F.max("least").alias("at"))
+            new = near.join(seen, ["root", "chain"], "left").where("had is null or at > had").select("root", "chain", "at")
+            k += 1
+            front = self.scratch.table(new, f"front-{k}")
+            names.append(f"front-{k}")
+            if k % 8 == 0:  # a round leaves little
+                self.scratch.release()
+        return self.scratch.read(front.schema, *names).groupBy("root", "chain").agg(F.max("at").alias("at"))
+
+    def reachable(self, roots: DataFrame) -> DataFrame:
+        roots = self._kept(roots, "roots")
+        here = self._kept(roots.join(self._located(roots.select("node").distinct()), "node"), "here")
+        best = self._walked(here.select("root", "chain", "at")).withColumnRenamed("at", "top")
+        found = self.points.join(best, "chain").where("at <= top").select("root", _unpacked("packed").alias("node"))
+        out = self._kept(found.unionByName(roots.join(here.select("node").distinct(), "node", "left_anti").select("root", "node")), "reach")
+        self.scratch.clear("reach")
+        return out
+
+    def tested(self, asked: DataFrame) -> DataFrame:
+        asked = self._kept(asked, "asked")
+        here = self._kept(self._located(asked.select(F.explode(F.array("old", "new")).alias("node")).distinct()), "here")
+        new = here.select(F.col("node").alias("new"), F.col("id").alias("root"), F.col("chain").alias("own"), F.col("at").alias("top"))
+        old = here.select(F.col("node").alias("old"), "chain", F.col("at").alias("low"))
+        pairs = self._kept(asked.join(new, "new").join(old, "old"), "located")
+        best = self._walked(pairs.select("root", F.col("own").alias("chain"), F.col("top").alias("at")))
+        hit = pairs.join(best, ["root", "chain"]).where("at >= low").select("old", "new", F.lit(True).alias("hit"))
+        ok = F.coalesce("hit", F.col("old") == F.col("new"), F.lit(False))
+        out = self._kept(asked.join(hit, ["old", "new"], "left").select("old", "new", ok.alias("ok")), "tested")
+        self.scratch.clear("tested")
+        return out

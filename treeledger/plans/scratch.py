@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,6 +36,10 @@ class Scratch:
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, schema: StructType, *names: str) -> DataFrame:
+        """Tables of one schema as one."""
+        return self.spark.read.schema(schema).parquet(*(f"{self.base}/{name}" for name in names))
+
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

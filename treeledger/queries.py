@@ -187,7 +187,7 @@ def union_root_hash(s, d):
 
 
 def _head(s, d, user: int) -> tuple[DataFrame, str]:
-    history = X.commits(s, d)
+    history = X.commits(s, d, once=True)
     row = X.heads(history).where(F.col("name") == f"users/{user}").first()
     return history, row["hash"] if row else "0" * 64
 
@@ -227,7 +227,7 @@ def commit_metadata(s, d):
 @query
 def is_ancestor(s, d):
     """Every head against the first commits of its user and the next, both ways round."""
-    history = X.commits(s, d)
+    history = X.commits(s, d, once=True)
     heads = X.heads(history).select(F.col("hash").alias("new"), F.regexp_extract("name", "[0-9]+$", 0).cast("long").alias("user"))
     firsts = history.groupBy("user_id").agg(F.min_by("hash", F.struct("ts", "event_id")).alias("old"))
     near = heads.withColumn("user_id", F.explode(F.array("user", F.col("user") + 1)))
@@ -236,10 +236,11 @@ def is_ancestor(s, d):
     return H.is_ancestor(history, pairs.union(back).distinct())
 
 
-def _full(s, d) -> dict[str, DataFrame]:
+def _full(s, d, once: bool = True) -> dict[str, DataFrame]:
     """The store without missing commits and trees."""
-    out = X.store(s, d)
-    out["commits"] = X.commits(s, d)
+    history = X.commits(s, d, once)
+    out = X.store(s, d, history)
+    out["commits"] = history
     out["trees"] = out["tree_entries"].groupBy(F.col("tree_hash").alias("hash")).agg(F.count(F.lit(1)).alias("length"))
     return out
 
@@ -301,7 +302,7 @@ def stats(s, d):
 
 
 def _fsck(s, d, status: str) -> DataFrame:
-    x = X.store(s, d)
+    x = X.store(s, d, X.commits(s, d, once=True))
     return R.fsck(x["commits"], x["tree_entries"], x["trees"], x["blobs"], x["refs"]).where(F.col("status") == status)
 
 
@@ -324,29 +325,29 @@ def fsck_corrupt(s, d):
     return R.fsck(stored, none["tree_entries"], none["trees"], none["blobs"], none["refs"]).where("status = 'corrupt'").select("object_type", "hash")
 
 
-def _there(s, d) -> dict[str, DataFrame]:
-    old = X.commits(s, d).where(F.col("ts") < F.lit(LAST_SYNC).cast("timestamp"))
+def _there(full) -> dict[str, DataFrame]:
+    old = full["commits"].where(F.col("ts") < F.lit(LAST_SYNC).cast("timestamp"))
     trees = old.select(F.col("tree").alias("hash")).distinct()
-    entries = X.store(s, d)["tree_entries"]
+    entries = full["tree_entries"]
     return {"commit": old, "tree": trees, "blob": R.blob_uses(entries, trees).select("hash").distinct()}
 
 
 @query
 def transfer_needed(s, d):
     full = _full(s, d)
-    return T.needed(R.mark(full["commits"], full["tree_entries"], full["refs"], full["trees"]), _there(s, d))
+    return T.needed(R.mark(full["commits"], full["tree_entries"], full["refs"], full["trees"]), _there(full))
 
 
 @query
 def transfer_shallow(s, d):
-    full = _full(s, d)
+    full = _full(s, d, once=False)
     return T.shallow(full["commits"], full["refs"]).select("hash", "tree")
 
 
 @query
 def fast_forward(s, d):
     """Every head against the heads at the last sync, one of them moved."""
-    history = X.commits(s, d)
+    history = X.commits(s, d, once=True)
     theirs = X.heads(history.where(F.col("ts") < F.lit(LAST_SYNC).cast("timestamp")))
     other = theirs.where("name = 'users/2'").select("hash").first()
     moved = theirs.withColumn("hash", F.when(F.col("name") == "users/11", F.lit(other[0] if other else None)).otherwise(F.col("hash")))
@@ -366,7 +367,7 @@ def truncate_stats(s, d):
 
 
 def _usage(s, d) -> tuple[DataFrame, DataFrame]:
-    full = _full(s, d)
+    full = _full(s, d, once=False)
     trees = full["refs"].join(full["commits"].select("hash", "tree"), "hash").select(F.col("name").alias("snapshot"), F.col("tree").alias("tree_hash"))
     return trees.join(full["tree_entries"], "tree_hash").select("snapshot", "kind", "hash"), full["blobs"]
 
