@@ -50,3 +50,33 @@ def test_reach_with_merges_and_circles_by_brute_force(spark, written):
     want = {(root, x) for root, node in starts for x in reach(parents, node)}
     assert set(got) == want and len(got) == len(want)
     assert max(n for _, n in written) < 2000
+
+
+def test_one_cut_by_tasks_leaves_chains_whole_wherever_rows_lie(spark, monkeypatch):
+    """Rows in small blocks, dealt at random, and a commit with rows in two blocks: segments meet again, and each commit has one place."""
+    monkeypatch.setattr(closure, "BLOCK_ROWS", 16)
+    rng = random.Random(9)
+    rows = [(f"{i + 1:064x}", f"{i:064x}", 0) for i in range(200)] + [(f"{i + 100:064x}", f"{i:064x}", 1) for i in range(0, 100, 9)] + [(f"{0:064x}", None, None), ("alone", None, None)]
+    rng.shuffle(rows)
+    chains = closure.Chains(spark.createDataFrame(rows, "child string, parent string, ord int").repartition(3))
+    got = [(r.chain, r.at) for r in chains.points.collect()]
+    assert len(got) == len(set(got)) == 202 and len({c for c, _ in got}) == 2
+    edges = spark.createDataFrame(rows, "child string, parent string, ord int").repartition(3)
+    starts = spark.createDataFrame([("r", f"{150:064x}"), ("s", "alone")], "root string, node string")
+    got = [tuple(r) for r in closure.reachable(edges, starts, sent_edges=0).collect()]
+    assert sorted(got) == sorted([("r", f"{i:064x}") for i in range(151)] + [("s", "alone")])
+
+
+def test_large_joins_of_hashes_go_in_slices(spark, written, monkeypatch):
+    """Two large sides meet slice by slice, with the rows of a plain join; names of other forms, null and repeated rows too."""
+    from treeledger.plans import joins
+
+    monkeypatch.setattr(joins, "SENT_ROWS", 20)
+    monkeypatch.setattr(joins, "SLICE_ROWS", 100)
+    names = [f"{i:064x}" for i in range(250)] + ["A" * 64, "a" * 64, "", "a", None, "a"]
+    left = spark.createDataFrame([(i % 7, h) for i, h in enumerate(names)], "n int, hash string")
+    right = spark.createDataFrame([(h,) for h in names[50:251] + ["a", "a"]], "hash string")
+    for how in ("left_semi", "left_anti"):
+        want = sorted(map(str, left.join(right, "hash", how).select("n", "hash").collect()))
+        assert sorted(map(str, joins.matched(left, right, how).select("n", "hash").collect())) == want
+    assert len(written) == 6 and max(n for _, n in written) < 150

@@ -113,22 +113,26 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, user_id, ts, event_type, k, first, second): first and second hold the event ids of the parents, null if there is none. No hash is moved."""
     events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", F.get_json_object("props", "$.k").alias("k"))
-    own = W.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = events.withColumn("first", F.lag(F.struct("event_id")).over(own))
-    # The latest event of user_id + 1 before a purchase: both kinds in one window, as an as-of join without a join; purchases keep their columns.
-    asking = F.coalesce((F.col("event_type") == "purchase") & F.col("user_id").isNotNull(), F.lit(False))
-    asks = rows.where(asking).select((F.col("user_id") + 1).alias("u"), F.lit(1).alias("ask"), F.lit(None).cast("struct<event_id:long>").alias("had"), *rows.columns)
-    have = events.select(F.col("user_id").alias("u"), F.lit(0).alias("ask"), F.struct(F.col("event_id").cast("long").alias("event_id")).alias("had"), F.lit(None).cast("long").alias("event_id"), "ts", F.col("event_id").alias("had_id"))
-    before = W.partitionBy("u").orderBy("ts", F.desc("ask"), "had_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    second = asks.unionByName(have, allowMissingColumns=True).withColumn("second", F.last("had", True).over(before)).where("ask = 1").select(*rows.columns, "second")
-    return second.unionByName(rows.where(~asking).withColumn("second", F.lit(None).cast("struct<event_id:long>")))
+    # Sixteen users make a block; an event is in its user's, and in the one before if a user there may ask for it. So all windows share one shuffle.
+    block = F.shiftright("user_id", 4)
+    places = F.when(F.pmod("user_id", F.lit(16)) == 0, F.array(block, block - 1)).otherwise(F.array(block))
+    rows = events.withColumn("block", F.explode(places)).withColumn("home", F.col("block").eqNullSafe(block)).repartition("block")
+    own = W.partitionBy("block", "user_id").orderBy("ts", "event_id")
+    rows = rows.withColumn("first", F.lag(F.struct("event_id")).over(own))
+    # The latest event of user_id + 1 before a purchase: a purchase stands among them too, as an as-of join without a join.
+    asking = F.coalesce((F.col("event_type") == "purchase") & F.col("user_id").isNotNull() & F.col("home"), F.lit(False))
+    rows = rows.withColumn("ask", F.explode(F.when(asking, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    rows = rows.withColumns({"u": F.col("user_id") + F.col("ask"), "had": F.when(F.col("ask") == 0, F.struct("event_id"))})
+    before = W.partitionBy("block", "u").orderBy("ts", F.desc("ask"), "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    second = F.when(F.col("ask") == 1, F.last("had", True).over(before))
+    return rows.withColumn("second", second).withColumn("asks", asking).where("home and (ask = 1 or not asks)").select("event_id", "user_id", "ts", "event_type", "k", "first", "second")
 
 
 def commits(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """(event_id, user_id, hash, tree, parents, ...): an event is a commit; its user's event before it is the first parent, and a purchase merges
     the latest earlier event of the next user. With once the events are linked once, for queries that read the history several times."""
     rows = _linked(spark, sf_dir)
-    rows = written(rows) if once else rows
+    rows = written(rows, "zstd") if once else rows
     id_of = lambda c: F.sha2(as_bytes(F.concat(F.lit("commit "), F.col(c).cast("string"))), 256)
     tree = F.sha2(as_bytes(F.concat(F.lit("tree "), (F.col("event_id") % 500).cast("string"))), 256)
     parents = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), id_of(f"{c}.event_id")) for c in ("first", "second"))))

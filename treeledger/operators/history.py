@@ -9,6 +9,7 @@ from treeledger.errors import MetadataKeyNotFound, ObjectNotFound
 from treeledger.functions.hashing import commit_hash, short
 from treeledger.functions.text import log_text
 from treeledger.plans.closure import SENT_EDGES, edges_of, reachable, tested
+from treeledger.plans.joins import matched
 
 
 def is_root() -> Column:
@@ -28,10 +29,10 @@ def log(commits: DataFrame, head: str, limit: int | None = None) -> DataFrame:
     """Commits reachable from head, newest first; of equal times the smaller hash comes first. A missing commit raises."""
     spark = commits.sparkSession
     found = ancestors(commits, spark.createDataFrame([(head, head)], "root string, node string")).select(F.col("node").alias("hash"))
-    gone = found.join(commits, "hash", "left_anti").first()
+    gone = matched(found, commits, "left_anti").first()
     if gone:
         raise ObjectNotFound(gone[0])
-    rows = commits.join(found, "hash", "left_semi").orderBy(F.desc("timestamp"), "hash")
+    rows = matched(commits, found, "left_semi").select(commits.columns).orderBy(F.desc("timestamp"), "hash")
     return rows if limit is None else rows.limit(limit)
 
 
@@ -41,8 +42,9 @@ def log_lines(commits: DataFrame) -> DataFrame:
 
 def is_ancestor(commits: DataFrame, pairs: DataFrame, sent_edges: int = SENT_EDGES) -> DataFrame:
     """pairs (old, new) with ok: whether old can be reached from new. A commit is its own ancestor; commits that can't be read are no one else's."""
-    stored = commits.select(F.col("hash").alias("old"), F.lit(True).alias("stored")).distinct()
-    answer = tested(edges_of(commits), pairs, sent_edges).join(stored, "old", "left")
+    answer = tested(edges_of(commits), pairs, sent_edges)
+    stored = matched(answer.select(F.col("old").alias("hash")).distinct(), commits, "left_semi")
+    answer = answer.join(stored.select(F.col("hash").alias("old"), F.lit(True).alias("stored")), "old", "left")
     ok = F.col("ok") & (F.col("stored").isNotNull() | (F.col("old") == F.col("new")))
     return pairs.join(answer.select("old", "new", ok.alias("ok")), ["old", "new"], "left").select("old", "new", F.coalesce("ok", F.lit(False)).alias("ok"))
 

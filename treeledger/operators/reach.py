@@ -9,6 +9,7 @@ from treeledger.errors import ObjectNotFound
 from treeledger.functions.hashing import blob_hash, commit_hash
 from treeledger.operators.history import ancestors
 from treeledger.plans.closure import SENT_EDGES
+from treeledger.plans.joins import matched
 from treeledger.plans.merkle import tree_hashes
 from treeledger.plans.scratch import Scratch
 from treeledger.schema import EMPTY_TREE
@@ -17,14 +18,15 @@ from treeledger.schema import EMPTY_TREE
 def marked_commits(commits: DataFrame, heads: DataFrame, sent_edges: int = SENT_EDGES) -> DataFrame:
     """(hash) of commits that heads (hash) lead to, missing ones too."""
     starts = heads.select(F.lit(0).alias("root"), F.col("hash").alias("node")).distinct()
-    return ancestors(commits, starts, sent_edges).select(F.col("node").alias("hash")).distinct()
+    return ancestors(commits, starts, sent_edges).select(F.col("node").alias("hash"))
 
 
 def marked_trees(commits: DataFrame, entries: DataFrame, marked: DataFrame) -> DataFrame:
     """(hash) of trees below marked commits, level by level, each tree once; only directory entries are read again for each level."""
     scratch = Scratch(commits.sparkSession)
     children = scratch.table(entries.where("kind = 'directory'").select("tree_hash", "hash").distinct(), "children")
-    front = seen = scratch.table(commits.join(marked, "hash", "left_semi").select(F.col("tree").alias("hash")).distinct(), "level-0")
+    own = matched(commits.select("hash", "tree"), marked, "left_semi", lambda df: df.select("tree").distinct())
+    front = seen = scratch.table(own.select(F.col("tree").alias("hash")).distinct(), "level-0")
     level = 0
     while True:
         level += 1
@@ -46,7 +48,7 @@ def mark(commits: DataFrame, entries: DataFrame, heads: DataFrame, trees: DataFr
     found = marked_commits(commits, heads)
     reached = marked_trees(commits, entries, found)
     if strict:
-        gone = found.join(commits, "hash", "left_anti").first()
+        gone = matched(found, commits, "left_anti").first()
         if gone is None and trees is not None:
             gone = reached.where(F.col("hash") != EMPTY_TREE).join(trees, "hash", "left_anti").first()
         if gone:
@@ -56,7 +58,7 @@ def mark(commits: DataFrame, entries: DataFrame, heads: DataFrame, trees: DataFr
 
 def swept(stored: dict[str, DataFrame], marked: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """What collection removes, by type: stored (hash, length) that isn't marked."""
-    return {k: df.select("hash", "length").join(marked[k], "hash", "left_anti") for k, df in stored.items() if k in marked}
+    return {k: matched(df.select("hash", "length"), marked[k], "left_anti") for k, df in stored.items() if k in marked}
 
 
 def gc_stats(stored: dict[str, DataFrame], marked: dict[str, DataFrame]) -> DataFrame:
@@ -69,11 +71,11 @@ def gc_stats(stored: dict[str, DataFrame], marked: dict[str, DataFrame]) -> Data
     return rows.orderBy("object_type")
 
 
-def fsck(commits: DataFrame, entries: DataFrame, trees: DataFrame, blobs: DataFrame, heads: DataFrame, verify_blobs: bool = False) -> DataFrame:
+def fsck(commits: DataFrame, entries: DataFrame, trees: DataFrame, blobs: DataFrame, heads: DataFrame, verify_blobs: bool = False, statuses: tuple[str, ...] = ("corrupt", "missing", "dangling")) -> DataFrame:
     """(status, object_type, hash, detail): corrupt, missing or dangling objects.
 
     A missing commit or tree is listed once, a missing blob once for each entry that names it. Corrupt commits and trees are those whose
-    content doesn't give their hash. Blob content is verified only if asked for, as attributes are part of it.
+    content doesn't give their hash. Blob content is verified only if asked for, as attributes are part of it. Only what ``statuses`` names is looked for.
     """
     found = marked_commits(commits, heads)
     reached = marked_trees(commits, entries, found)
@@ -85,18 +87,18 @@ def fsck(commits: DataFrame, entries: DataFrame, trees: DataFrame, blobs: DataFr
     made = entries.select(F.col("tree_hash").alias("stored"), *(c for c in entries.columns if c != "tree_hash"))
     made = tree_hashes(made, "stored").where("stored <> tree_hash").select(F.col("stored").alias("hash"))
     out = out.unionByName(row(made, "corrupt", "tree"))
-    for kind in ("commit", "tree"):
-        gone = marked[kind].where(F.col("hash") != EMPTY_TREE).join(stored[kind], "hash", "left_anti")
+    for kind in ("commit", "tree") if "missing" in statuses else ():
+        gone = matched(marked[kind].where(F.col("hash") != EMPTY_TREE), stored[kind], "left_anti")
         out = out.unionByName(row(gone, "missing", kind))
     gone = uses.join(stored["blob"], "hash", "left_anti")
     out = out.unionByName(row(gone, "missing", "blob", F.concat_ws("/", "tree_hash", "name")))
-    for kind in stored:
-        out = out.unionByName(row(stored[kind].join(marked[kind], "hash", "left_anti"), "dangling", kind))
+    for kind in stored if "dangling" in statuses else ():
+        out = out.unionByName(row(matched(stored[kind], marked[kind], "left_anti"), "dangling", kind))
     if verify_blobs:
         # Attributes are part of a blob's hash and kept by its entries, all with the same ones.
         more = entries.where("kind in ('regular', 'symlink')").groupBy("hash").agg(F.first("xattrs").alias("xattrs"))
         out = out.unionByName(row(blobs.join(more, "hash", "left").where(blob_hash("uid", "gid", "mode", "content", "xattrs") != F.col("hash")), "corrupt", "blob"))
-    return out
+    return out.where(F.col("status").isin(*statuses))
 
 
 def fsck_counts(report: DataFrame, commits: DataFrame, trees: DataFrame, blobs: DataFrame) -> DataFrame:

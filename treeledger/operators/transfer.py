@@ -13,6 +13,7 @@ from treeledger.functions.text import entry_name_ok
 from treeledger.operators.history import is_ancestor
 from treeledger.operators.reach import mark
 from treeledger.operators.refs import HEADS, current
+from treeledger.plans.joins import matched
 from treeledger.plans.merkle import tree_hashes
 
 
@@ -20,7 +21,7 @@ def needed(marked: dict[str, DataFrame], there: dict[str, DataFrame]) -> DataFra
     """(object_type, hash): what the heads lead to and the destination lacks."""
     out = None
     for kind, df in marked.items():
-        one = df.join(there[kind].select("hash"), "hash", "left_anti").select(F.lit(kind).alias("object_type"), "hash")
+        one = matched(df, there[kind], "left_anti").select(F.lit(kind).alias("object_type"), "hash")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from treeledger.plans.joins import SENT_ROWS, packed, sent, unpacked
 from treeledger.plans.scratch import Scratch
 from treeledger.plans.workers import prepare
 
@@ -18,8 +20,8 @@ SENT_EDGES = 200_000
 
 
 def edges_of(commits: DataFrame) -> DataFrame:
-    """(child, parent, ord) for each parent of each commit."""
-    return commits.select(F.col("hash").alias("child"), F.posexplode("parents").alias("ord", "parent"))
+    """(child, parent, ord) for each parent of each commit; a commit without parents has one row, without a parent."""
+    return commits.select(F.col("hash").alias("child"), F.posexplode_outer("parents").alias("ord", "parent"))
 
 
 class Graph:
@@ -56,6 +58,7 @@ class Graph:
 
 def _small(edges: DataFrame, limit: int) -> Graph | None:
     """The graph if it has few edges; they are counted before any is fetched."""
+    edges = edges.where("child is not null and parent is not null")
     if edges.count() > limit:
         return None
     prepare(edges.sparkSession)
@@ -126,34 +129,100 @@ def tested(edges: DataFrame, pairs: DataFrame, sent_edges: int = SENT_EDGES) ->
     return asked.repartitionByRange("new", "old").sortWithinPartitions("new", "old").mapInArrow(walk, "old string, new string, ok boolean")
 
 
-def _packed(c: str) -> Column:
-    """A hash in half its length; other names as they are. No two names give the same bytes."""
-    return F.when(F.col(c).rlike(r"\A[0-9a-f]{64}\z"), F.concat(F.unhex(F.lit("00")), F.unhex(c))).otherwise(F.concat(F.unhex(F.lit("01")), F.col(c).cast("binary")))
-
-
-def _unpacked(c: str) -> Column:
-    rest = F.substring(c, 2, (1 << 31) - 1)
-    return F.when(F.substring(c, 1, 1) == F.unhex(F.lit("00")), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+#: Columns of the tables of segments: a point (KIND 0), an edge within a block (1), an edge whose parent has no row in the block (2), two names of one id (3).
+_CUT = "kind byte, id long, chain long, at long, to long, least long, tail boolean, name binary"
+#: Rows of edges that a task cuts at once.
+BLOCK_ROWS = 1 << 18
+
+
+def _parts(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The segments of one block of edges (c, p, first, cn, pn): paths of first parents among the commits that have rows in it, named by the id of their top."""
+    cn, pn = (rows[x].combine_chunks() for x in ("cn", "pn"))
+    c, none = rows["c"].to_numpy(), rows["p"].is_null().to_numpy()
+    p, first = rows["p"].fill_null(0).to_numpy(), rows["first"].fill_null(False).to_numpy()
+    ids, index, of = np.unique(c, return_index=True, return_inverse=True)
+    n, names = len(ids), cn.take(pa.array(index))
+    there = np.minimum(np.searchsorted(ids, p), n - 1)
+    local = ~none & (ids[there] == p)
+    same = pc.and_(pc.equal(cn, cn.take(pa.array(index[of]))), pc.or_(pa.array(~local), pc.fill_null(pc.equal(pn, names.take(pa.array(there))), True)))
+    if not pc.all(same).as_py():
+        yield from _out(3, 1)
+        return
+    # Each commit with one first parent, each parent with one commit.
+    at = np.flatnonzero(local & first & (p != c))
+    at = at[np.lexsort((there[at], of[at]))]
+    at = at[np.unique(of[at], return_index=True)[1]]
+    at = at[np.lexsort((of[at], there[at]))]
+    at = at[np.unique(there[at], return_index=True)[1]]
+    below = np.full(n, -1)
+    below[of[at]] = there[at]
+    while True:
+        low, far = np.where(below >= 0, below, np.arange(n)), (below >= 0).astype(np.int64)
+        steps = 1
+        while steps <= n and (below[low] >= 0).any():
+            far, low, steps = far + far[low], low[low], 2 * steps
+        circle = below[low] >= 0
+        if not circle.any():
+            break
+        below[circle] = -1
+    top = np.ones(n, bool)
+    top[below[below >= 0]] = False
+    chain = np.empty(n, np.int64)
+    chain[low[top]] = ids[top]
+    chain = chain[low]
+    yield from _out(0, n, id=ids, chain=chain, at=far, name=names)
+    i, j = of, there
+    inner = np.flatnonzero(local & ~((below[i] == j) | ((chain[i] == chain[j]) & (far[j] <= far[i]))))
+    yield from _out(1, len(inner), chain=chain[i[inner]], at=far[i[inner]], to=chain[j[inner]], least=far[j[inner]])
+    outer = np.flatnonzero(~none & ~local)
+    yield from _out(2, len(outer), id=p[outer], chain=chain[i[outer]], at=far[i[outer]], tail=first[outer] & (far[i[outer]] == 0), name=pn.take(pa.array(outer)))
+
+
+def _out(kind: int, n: int, **columns) -> Iterator[pa.RecordBatch]:
+    types = {"kind": pa.int8(), "id": pa.int64(), "chain": pa.int64(), "at": pa.int64(), "to": pa.int64(), "least": pa.int64(), "tail": pa.bool_(), "name": pa.binary()}
+    columns["kind"] = np.full(n, kind, np.int8)
+    arrays = [pa.nulls(n, t) if (x := columns.get(k)) is None else x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for k, t in types.items()]
+    whole = pa.RecordBatch.from_arrays(arrays, names=list(types))
+    for k in range(0, n, 1 << 14):
+        yield whole.slice(k, 1 << 14)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of edges, each cut by itself; the rows of a commit that follow one another are not parted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= BLOCK_ROWS:
+            rows = pa.Table.from_batches(held)
+            c = rows["c"].to_numpy()
+            other = np.flatnonzero(c != c[-1])
+            if len(other):
+                yield from _parts(rows.slice(0, other[-1] + 1))
+                held = rows.slice(other[-1] + 1).combine_chunks().to_batches()
+    if sum(map(len, held)):
+        yield from _parts(pa.Table.from_batches(held))
 
 
 class Chains:
     """A large graph cut into chains, each commit with its first parent as far as that is no one else's.
 
     What a root reaches of a chain is one position and all below it, so a root's reach is a row for each chain it meets instead of one for
-    each commit. Tables: ``points`` (id, packed, chain, at) and ``cross`` (chain, since, until, to, least): from positions since to until
-    (exclusive; null: the end) of a chain one gets to position ``least`` of the chain ``to`` and no higher.
+    each commit. First each task cuts the edges it has into segments, without a shuffle: a history is mostly stored with commits near their
+    parents. Then segments whose bottom has the top of another as first parent are joined by doubling, which moves a row for each segment.
+    Tables: ``points`` (id, name, chain, at) and ``cross`` (chain, since, until, to, least): from positions since to until (exclusive; null:
+    the end) of a chain one gets to position ``least`` of the chain ``to`` and no higher.
     """
 
     def __init__(self, edges: DataFrame):
-        self.scratch = Scratch(edges.sparkSession)
-        known = edges.where("child is not null and parent is not null")
-        nodes = self._numbered(known)
+        self.scratch = Scratch(prepare(edges.sparkSession))
         first = F.col("ord") == 0 if "ord" in edges.columns else F.lit(True)
-        pairs = known.select(self._id("child").alias("c"), self._id("parent").alias("p"), first.alias("first")).where("c <> p")
-        pairs = self._kept(pairs, "pairs")
-        self.points = self._placed(nodes, pairs)
-        self.cross = self._crossed(pairs)
-        self.scratch.drop("nodes", "pairs")
+        known = edges.where("child is not null").select("child", "parent", first.alias("first"))
+        self.salt = 0
+        while not self._cut(known):
+            self.scratch.clear()
+            self.salt += 1
+        self._joined()
+        self._crossed()
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         out = self.scratch.table(df, name)
@@ -164,20 +233,36 @@ class Chains:
     def _id(self, c: str) -> Column:
         return F.xxhash64(F.lit(self.salt), F.col(c))
 
-    def _numbered(self, known: DataFrame) -> DataFrame:
-        """(id, packed) of all nodes. Ids are hashes; should two nodes get the same one, others are taken."""
-        ends = known.select(F.explode(F.array("child", "parent")).alias("node"))
-        self.salt = 0
-        while True:
-            nodes = self._kept(ends.select(self._id("node").alias("id"), _packed("node").alias("packed")).distinct(), "nodes")
-            if nodes.groupBy("id").count().where("count > 1").isEmpty():
-                return nodes
-            self.salt += 1
-
-    def _placed(self, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Distances to the end of each chain by doubling: a link for each node, whose number doesn't grow. Links in a circle have no end and are let go."""
-        one = pairs.where("first").groupBy("c").agg(F.min("p").alias("p"))
-        links = self._kept(one.groupBy("p").agg(F.min("c").alias("c")).select(F.col("c").alias("x"), F.col("p").alias("y"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("done")), "links-0")
+    def _cut(self, known: DataFrame) -> bool:
+        """Segments. False if a commit has rows in two blocks, or two names have one id: rows of a commit then have to meet, and ids are others."""
+        if self.salt:
+            known = known.repartition("child").sortWithinPartitions("child")
+        rows = known.select(self._id("child").alias("c"), F.when(F.col("parent").isNotNull(), self._id("parent")).alias("p"), "first", packed("child").alias("cn"), packed("parent").alias("pn"))
+        self.parts = self._kept(rows.mapInArrow(_segments, _CUT), "parts")
+        points = self.parts.where("kind = 0")
+        if not self.parts.where("kind = 3").isEmpty() or not points.groupBy("id").count().where("count > 1").isEmpty():
+            return False
+        # Parents without a row in their block: other blocks have them, or no one. Two names of one id differ in a second hash.
+        second = F.xxhash64(F.lit(-1), F.col("name")).alias("second")
+        asked = self._kept(self.parts.where("kind = 2").select("id", second).distinct(), "asked")
+        hits = points.select("id", second.alias("own"), F.col("chain").alias("to"), F.col("at").alias("least")).join(sent(asked), "id")
+        hits = self._kept(hits, "hits")
+        if not hits.where("own <> second").isEmpty() or not asked.groupBy("id").count().where("count > 1").isEmpty():
+            return False
+        gone = asked.join(hits.select("id"), "id", "left_anti").select("id")
+        more = self.parts.where("kind = 2").select("id", "name").join(sent(gone), "id", "left_semi").dropDuplicates(["id"])
+        more = self._kept(more.select("id", F.col("id").alias("chain"), F.lit(0).cast("long").alias("at"), "name"), "more")
+        ends = hits.select("id", "to", "least").unionByName(more.select("id", F.col("id").alias("to"), F.lit(0).cast("long").alias("least")))
+        self.opened = self._kept(self.parts.where("kind = 2").select("id", "chain", F.col("at").alias("since"), "tail").join(sent(ends), "id"), "opened")
+        self.points = points.select("id", "chain", "at", "name").unionByName(more)
+        self.scratch.drop("asked", "hits")
+        return True
+
+    def _joined(self) -> None:
+        """Segments put on one another, by doubling: a link for each, whose number doesn't grow. Links in a circle have no end and are let go."""
+        one = self.opened.where("tail and id = to and to <> chain").groupBy("chain").agg(F.min(F.struct("to", "least")).alias("e"))
+        one = one.groupBy(F.col("e.to").alias("y")).agg(F.min(F.struct("chain", "e.least")).alias("e"))
+        links = self._kept(one.select(F.col("e.chain").alias("x"), "y", (F.col("e.least") + 1).alias("n"), F.lit(False).alias("done")), "links-0")
         most, k = links.count(), 0
         while 1 << k <= 2 * most and not links.where("not done").isEmpty():
             far = links.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("n").alias("more"), F.col("done").alias("ended"))
@@ -185,55 +270,73 @@ class Chains:
             k += 1
             links = self._kept(links.where("done").unionByName(moved), f"links-{k}")
             self.scratch.drop(f"links-{k - 1}")
-        ends = links.where("done").select(F.col("x").alias("id"), "y", "n")
-        placed = nodes.join(ends, "id", "left").select("id", "packed", F.coalesce("y", "id").alias("chain"), F.coalesce("n", F.lit(0)).alias("at"))
-        placed = self._kept(placed, "points")
-        self.scratch.drop(f"links-{k}")
-        return placed
-
-    def _crossed(self, pairs: DataFrame) -> DataFrame:
-        at = self.points.select("id", "chain", "at")
-        child = at.select(F.col("id").alias("c"), "chain", F.col("at").alias("since"))
-        parent = at.select(F.col("id").alias("p"), F.col("chain").alias("to"), F.col("at").alias("least"))
-        rows = pairs.select("c", "p").join(child, "c").join(parent, "p").where("to <> chain or least > since")
+        self.moves = links.where("done").select(F.col("x").alias("chain"), F.col("y").alias("onto"), F.col("n").alias("up"))
+        if most:
+            few = sent(self.moves)
+            self.points = self._moved(self.points, few)
+            if few is self.moves:
+                self.points = self._kept(self.points, "points")
+                self.scratch.drop("more")
+
+    def _moved(self, df: DataFrame, moves: DataFrame, chain: str = "chain", at: str = "at") -> DataFrame:
+        """df with positions in segments as positions in chains."""
+        out = df.join(moves.withColumnRenamed("chain", chain), chain, "left")
+        return out.withColumns({chain: F.coalesce("onto", chain), at: F.col(at) + F.coalesce("up", F.lit(0))}).drop("onto", "up")
+
+    def _crossed(self) -> None:
+        rows = self.parts.where("kind = 1").select("chain", F.col("at").alias("since"), "to", "least").unionByName(self.opened.select("chain", "since", "to", "least"))
+        few = sent(self.moves)
+        rows = self._moved(self._moved(rows, few, "chain", "since"), few, "to", "least").where("to <> chain or least > since")
         rows = rows.groupBy("chain", "to", "since").agg(F.max("least").alias("least"))
         order = W.partitionBy("chain", "to").orderBy("since")
         rows = rows.withColumn("before", F.max("least").over(order.rowsBetween(W.unboundedPreceding, -1))).where("before is null or least > before")
-        return self._kept(rows.select("chain", "since", F.lead("since").over(order).alias("until"), "to", "least"), "cross")
+        self.cross = self._kept(rows.select("chain", "since", F.lead("since").over(order).alias("until"), "to", "least"), "cross")
+        self.scratch.drop("opened")
+        if "points" in self.scratch.names:
+            self.scratch.drop("parts")
 
     def _located(self, names: DataFrame) -> DataFrame:
         """names (node) that the graph has, with chain and at."""
-        asked = names.select("node", self._id("node").alias("id"), _packed("node").alias("packed"))
-        return asked.join(self.points, ["id", "packed"]).select("node", "id", "chain", "at")
+        asked = self._kept(names.select(self._id("node").alias("id"), packed("node").alias("name")), "names")
+        return self.points.join(sent(asked), ["id", "name"]).select(unpacked("name").alias("node"), "id", "chain", "at")
 
     def _walked(self, starts: DataFrame) -> DataFrame:
         """(root, chain, at): the highest position of each chain that each root of starts (root, chain, at) leads to. A round for each crossing of chains."""
-        k, names = 0, ["front-0"]
+        k, names, total = 0, ["front-0"], 0
         front = self._kept(starts.groupBy("root", "chain").agg(F.max("at").alias("at")), "front-0")
-        while not front.isEmpty():
-            seen = self.scratch.read(front.schema, *names).groupBy("root", "chain").agg(F.max("at").alias("had"))
-            near = front.join(self.cross, "chain").where("at >= since and (until is null or at < until)")
+        while n := front.count():
+            total += n
+            seen = self.scratch.read(front.schema, *names)
+            seen = F.broadcast(seen) if total <= SENT_ROWS else seen.groupBy("root", "chain").agg(F.max("at").alias("at"))
+            near = self.cross.join(F.broadcast(front) if n <= SENT_ROWS else front, "chain").where("at >= since and (until is null or at < until)")
             near = near.groupBy("root", F.col("to").alias("chain")).agg(F.max("least").alias("at"))
-            new = near.join(seen, ["root", "chain"], "left").where("had is null or at > had").select("root", "chain", "at")
+            a, b = near.alias("a"), seen.alias("b")
+            new = a.join(b, F.expr("a.root = b.root and a.chain = b.chain and a.at <= b.at"), "left_anti")
             k += 1
             front = self.scratch.table(new, f"front-{k}")
             names.append(f"front-{k}")
-            if k % 8 == 0:  # a round leaves little
+            if k % 8 == 0 or total > SENT_ROWS:  # a round of few rows leaves little
                 self.scratch.release()
-        return self.scratch.read(front.schema, *names).groupBy("root", "chain").agg(F.max("at").alias("at"))
+        best = self._kept(self.scratch.read(front.schema, *names).groupBy("root", "chain").agg(F.max("at").alias("at")), "best")
+        self.scratch.drop(*names)
+        return best
 
     def reachable(self, roots: DataFrame) -> DataFrame:
         roots = self._kept(roots, "roots")
         here = self._kept(roots.join(self._located(roots.select("node").distinct()), "node"), "here")
         best = self._walked(here.select("root", "chain", "at")).withColumnRenamed("at", "top")
-        found = self.points.join(best, "chain").where("at <= top").select("root", _unpacked("packed").alias("node"))
-        out = self._kept(found.unionByName(roots.join(here.select("node").distinct(), "node", "left_anti").select("root", "node")), "reach")
-        self.scratch.clear("reach")
-        return out
+        found = self.points.join(sent(best), "chain").where("at <= top").select("root", unpacked("name").alias("node"))
+        found = found.unionByName(roots.join(here.select("node").distinct(), "node", "left_anti").select("root", "node"))
+        self.scratch.drop("cross", "names")
+        if (best.agg(F.sum(F.col("top") + 1)).first()[0] or 0) + roots.count() <= SENT_ROWS:
+            found = self._kept(found, "reach")
+            self.scratch.clear("reach")
+        return found  # a large reach isn't written: its points are
 
     def tested(self, asked: DataFrame) -> DataFrame:
         asked = self._kept(asked, "asked")
         here = self._kept(self._located(asked.select(F.explode(F.array("old", "new")).alias("node")).distinct()), "here")
+        self.scratch.drop("parts", "more", "points", "names")
         new = here.select(F.col("node").alias("new"), F.col("id").alias("root"), F.col("chain").alias("own"), F.col("at").alias("top"))
         old = here.select(F.col("node").alias("old"), "chain", F.col("at").alias("low"))
         pairs = self._kept(asked.join(new, "new").join(old, "old"), "located")

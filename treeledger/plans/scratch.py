@@ -58,6 +58,6 @@ class Scratch:
         self.drop(*(self.names - set(kept)))
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "none") -> DataFrame:
     """df, written once and read back, so that a loop's plan stays short."""
-    return Scratch(df.sparkSession).table(df, "loop")
+    return Scratch(df.sparkSession).table(df, "loop", compression)

@@ -303,7 +303,7 @@ def stats(s, d):
 
 def _fsck(s, d, status: str) -> DataFrame:
     x = X.store(s, d, X.commits(s, d, once=True))
-    return R.fsck(x["commits"], x["tree_entries"], x["trees"], x["blobs"], x["refs"]).where(F.col("status") == status)
+    return R.fsck(x["commits"], x["tree_entries"], x["trees"], x["blobs"], x["refs"], statuses=(status,))
 
 
 @query
