@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from treeledger.functions.hashing import artifact_hash, as_bytes, blob_hash, commit_hash
 from treeledger.operators.ingest import with_parents
 from treeledger.plans.merkle import merkle, tree_entries
-from treeledger.plans.scratch import written
+from treeledger.plans.scratch import Scratch, written
 from treeledger.schema import PATHS, PAYLOAD_COLUMNS
 
 
@@ -132,7 +132,10 @@ def commits(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """(event_id, user_id, hash, tree, parents, ...): an event is a commit; its user's event before it is the first parent, and a purchase merges
     the latest earlier event of the next user. With once the events are linked once, for queries that read the history several times."""
     rows = _linked(spark, sf_dir)
-    rows = written(rows, "zstd") if once else rows
+    if once:
+        scratch = Scratch(spark)
+        rows = scratch.table(rows, "linked", "zstd")
+        scratch.release()
     id_of = lambda c: F.sha2(as_bytes(F.concat(F.lit("commit "), F.col(c).cast("string"))), 256)
     tree = F.sha2(as_bytes(F.concat(F.lit("tree "), (F.col("event_id") % 500).cast("string"))), 256)
     parents = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), id_of(f"{c}.event_id")) for c in ("first", "second"))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from treeledger.errors import MetadataKeyNotFound, ObjectNotFound
 from treeledger.functions.hashing import commit_hash, short
 from treeledger.functions.text import log_text
-from treeledger.plans.closure import SENT_EDGES, edges_of, reachable, tested
+from treeledger.plans.closure import SENT_EDGES, Reach, edges_of, reachable, tested
 from treeledger.plans.joins import matched
 
 
@@ -28,11 +28,11 @@ def ancestors(commits: DataFrame, heads: DataFrame, sent_edges: int = SENT_EDGES
 def log(commits: DataFrame, head: str, limit: int | None = None) -> DataFrame:
     """Commits reachable from head, newest first; of equal times the smaller hash comes first. A missing commit raises."""
     spark = commits.sparkSession
-    found = ancestors(commits, spark.createDataFrame([(head, head)], "root string, node string")).select(F.col("node").alias("hash"))
-    gone = matched(found, commits, "left_anti").first()
+    reach = Reach(edges_of(commits), spark.createDataFrame([(head,)], "hash string"))
+    gone = reach.missing.first()
     if gone:
         raise ObjectNotFound(gone[0])
-    rows = matched(commits, found, "left_semi").select(commits.columns).orderBy(F.desc("timestamp"), "hash")
+    rows = reach.inside(commits).orderBy(F.desc("timestamp"), "hash")
     return rows if limit is None else rows.limit(limit)
 
 

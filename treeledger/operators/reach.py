@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from treeledger.errors import ObjectNotFound
 from treeledger.functions.hashing import blob_hash, commit_hash
-from treeledger.operators.history import ancestors
-from treeledger.plans.closure import SENT_EDGES
+from treeledger.plans.closure import SENT_EDGES, Reach, edges_of
 from treeledger.plans.joins import matched
 from treeledger.plans.merkle import tree_hashes
 from treeledger.plans.scratch import Scratch
@@ -17,15 +16,20 @@ from treeledger.schema import EMPTY_TREE
 
 def marked_commits(commits: DataFrame, heads: DataFrame, sent_edges: int = SENT_EDGES) -> DataFrame:
     """(hash) of commits that heads (hash) lead to, missing ones too."""
-    starts = heads.select(F.lit(0).alias("root"), F.col("hash").alias("node")).distinct()
-    return ancestors(commits, starts, sent_edges).select(F.col("node").alias("hash"))
+    return Reach(edges_of(commits), heads, sent_edges).hashes(commits)
 
 
-def marked_trees(commits: DataFrame, entries: DataFrame, marked: DataFrame) -> DataFrame:
-    """(hash) of trees below marked commits, level by level, each tree once; only directory entries are read again for each level."""
+class Marked(dict):
+    """Marked hashes by type, with ``reach``: which commits of the same store they are."""
+
+    reach: Reach
+
+
+def marked_trees(commits: DataFrame, entries: DataFrame, reach: Reach) -> DataFrame:
+    """(hash) of trees below reached commits, level by level, each tree once; only directory entries are read again for each level."""
     scratch = Scratch(commits.sparkSession)
     children = scratch.table(entries.where("kind = 'directory'").select("tree_hash", "hash").distinct(), "children")
-    own = matched(commits.select("hash", "tree"), marked, "left_semi", lambda df: df.select("tree").distinct())
+    own = reach.inside(commits.select("hash", "tree"), lambda df: df.select("tree").distinct())
     front = seen = scratch.table(own.select(F.col("tree").alias("hash")).distinct(), "level-0")
     level = 0
     while True:
@@ -43,25 +47,29 @@ def blob_uses(entries: DataFrame, trees: DataFrame) -> DataFrame:
     return entries.where("kind in ('regular', 'symlink')").join(trees.withColumnRenamed("hash", "tree_hash"), "tree_hash", "left_semi").select("hash", "tree_hash", "name")
 
 
-def mark(commits: DataFrame, entries: DataFrame, heads: DataFrame, trees: DataFrame | None = None, strict: bool = True) -> dict[str, DataFrame]:
+def mark(commits: DataFrame, entries: DataFrame, heads: DataFrame, trees: DataFrame | None = None, strict: bool = True) -> Marked:
     """Marked hashes by type. Strict: a missing commit or tree raises, as collection and statistics must not guess."""
-    found = marked_commits(commits, heads)
-    reached = marked_trees(commits, entries, found)
+    reach = Reach(edges_of(commits), heads)
+    if strict and (gone := reach.missing.first()):
+        raise ObjectNotFound(gone[0])
+    reached = marked_trees(commits, entries, reach)
     if strict:
-        gone = matched(found, commits, "left_anti").first()
-        if gone is None and trees is not None:
+        if trees is not None:
             gone = reached.where(F.col("hash") != EMPTY_TREE).join(trees, "hash", "left_anti").first()
         if gone:
             raise ObjectNotFound(gone[0])
-    return {"commit": found, "tree": reached, "blob": blob_uses(entries, reached).select("hash").distinct()}
+    out = Marked({"commit": reach.hashes(commits), "tree": reached, "blob": blob_uses(entries, reached).select("hash").distinct()})
+    out.reach = reach
+    return out
 
 
-def swept(stored: dict[str, DataFrame], marked: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """What collection removes, by type: stored (hash, length) that isn't marked."""
-    return {k: matched(df.select("hash", "length"), marked[k], "left_anti") for k, df in stored.items() if k in marked}
+def swept(stored: dict[str, DataFrame], marked: Marked) -> dict[str, DataFrame]:
+    """What collection removes, by type: stored (hash, length) that isn't marked. Stored commits are those of the store that was marked."""
+    rows = {k: df.select("hash", "length") for k, df in stored.items() if k in marked}
+    return {k: marked.reach.outside(df) if k == "commit" else matched(df, marked[k], "left_anti") for k, df in rows.items()}
 
 
-def gc_stats(stored: dict[str, DataFrame], marked: dict[str, DataFrame]) -> DataFrame:
+def gc_stats(stored: dict[str, DataFrame], marked: Marked) -> DataFrame:
     """(object_type, removed, bytes)."""
     gone = swept(stored, marked)
     rows = None
@@ -77,21 +85,23 @@ def fsck(commits: DataFrame, entries: DataFrame, trees: DataFrame, blobs: DataFr
     A missing commit or tree is listed once, a missing blob once for each entry that names it. Corrupt commits and trees are those whose
     content doesn't give their hash. Blob content is verified only if asked for, as attributes are part of it. Only what ``statuses`` names is looked for.
     """
-    found = marked_commits(commits, heads)
-    reached = marked_trees(commits, entries, found)
+    reach = Reach(edges_of(commits), heads)
+    reached = marked_trees(commits, entries, reach)
     uses = blob_uses(entries, reached)
-    stored = {"commit": commits.select("hash"), "tree": trees.select("hash"), "blob": blobs.select("hash")}
-    marked = {"commit": found, "tree": reached, "blob": uses.select("hash").distinct()}
+    stored = {"tree": trees.select("hash"), "blob": blobs.select("hash")}
+    marked = {"tree": reached, "blob": uses.select("hash").distinct()}
     row = lambda df, status, kind, detail=None: df.select(F.lit(status).alias("status"), F.lit(kind).alias("object_type"), "hash", (detail if detail is not None else F.lit("")).alias("detail"))
     out = row(commits.where(commit_hash() != F.col("hash")), "corrupt", "commit")
     made = entries.select(F.col("tree_hash").alias("stored"), *(c for c in entries.columns if c != "tree_hash"))
     made = tree_hashes(made, "stored").where("stored <> tree_hash").select(F.col("stored").alias("hash"))
     out = out.unionByName(row(made, "corrupt", "tree"))
-    for kind in ("commit", "tree") if "missing" in statuses else ():
-        gone = matched(marked[kind].where(F.col("hash") != EMPTY_TREE), stored[kind], "left_anti")
-        out = out.unionByName(row(gone, "missing", kind))
+    if "missing" in statuses:
+        out = out.unionByName(row(reach.missing.where(F.col("hash") != EMPTY_TREE), "missing", "commit"))
+        out = out.unionByName(row(matched(reached.where(F.col("hash") != EMPTY_TREE), stored["tree"], "left_anti"), "missing", "tree"))
     gone = uses.join(stored["blob"], "hash", "left_anti")
     out = out.unionByName(row(gone, "missing", "blob", F.concat_ws("/", "tree_hash", "name")))
+    if "dangling" in statuses:
+        out = out.unionByName(row(reach.outside(commits.select("hash")), "dangling", "commit"))
     for kind in stored if "dangling" in statuses else ():
         out = out.unionByName(row(matched(stored[kind], marked[kind], "left_anti"), "dangling", kind))
     if verify_blobs:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from treeledger.plans.joins import SENT_ROWS, packed, sent, unpacked
+from treeledger.plans.joins import KEY_ROWS, SENT_ROWS, SLICE_ROWS, matched, sent, sliced
 from treeledger.plans.scratch import Scratch
 from treeledger.plans.workers import prepare
 
@@ -75,7 +74,11 @@ def reachable(edges: DataFrame, starts: DataFrame, sent_edges: int = SENT_EDGES)
     graph = _small(edges, sent_edges)
     if graph is None:
         return Chains(edges).reachable(roots)
-    shared = edges.sparkSession.sparkContext.broadcast(graph)
+    return _sent_walk(edges.sparkSession, graph, roots)
+
+
+def _sent_walk(spark: SparkSession, graph: Graph, roots: DataFrame) -> DataFrame:
+    shared = spark.sparkContext.broadcast(graph)
     kind = roots.schema["root"].dataType
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,22 +133,20 @@ def tested(edges: DataFrame, pairs: DataFrame, sent_edges: int = SENT_EDGES) ->
 
 
 #: Columns of the tables of segments: a point (KIND 0), an edge within a block (1), an edge whose parent has no row in the block (2), two names of one id (3).
-_CUT = "kind byte, id long, chain long, at long, to long, least long, tail boolean, name binary"
+_CUT = "kind byte, id long, second long, chain long, at long, to long, least long, tail boolean"
 #: Rows of edges that a task cuts at once.
 BLOCK_ROWS = 1 << 18
 
 
 def _parts(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The segments of one block of edges (c, p, first, cn, pn): paths of first parents among the commits that have rows in it, named by the id of their top."""
-    cn, pn = (rows[x].combine_chunks() for x in ("cn", "pn"))
-    c, none = rows["c"].to_numpy(), rows["p"].is_null().to_numpy()
-    p, first = rows["p"].fill_null(0).to_numpy(), rows["first"].fill_null(False).to_numpy()
+    """The segments of one block of edges (c, p, first, cs, ps): paths of first parents among the commits that have rows in it, named by the id of their top."""
+    c, cs, none = rows["c"].to_numpy(), rows["cs"].to_numpy(), rows["p"].is_null().to_numpy()
+    p, ps, first = (rows[x].fill_null(none_).to_numpy() for x, none_ in (("p", 0), ("ps", 0), ("first", False)))
     ids, index, of = np.unique(c, return_index=True, return_inverse=True)
-    n, names = len(ids), cn.take(pa.array(index))
+    n, seconds = len(ids), cs[index]
     there = np.minimum(np.searchsorted(ids, p), n - 1)
     local = ~none & (ids[there] == p)
-    same = pc.and_(pc.equal(cn, cn.take(pa.array(index[of]))), pc.or_(pa.array(~local), pc.fill_null(pc.equal(pn, names.take(pa.array(there))), True)))
-    if not pc.all(same).as_py():
+    if (cs != seconds[of]).any() or (ps != seconds[there])[local].any():
         yield from _out(3, 1)
         return
     # Each commit with one first parent, each parent with one commit.
@@ -170,18 +171,20 @@ def _parts(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     chain = np.empty(n, np.int64)
     chain[low[top]] = ids[top]
     chain = chain[low]
-    yield from _out(0, n, id=ids, chain=chain, at=far, name=names)
+    # In the order of chains: all but the hashes is packed to next to nothing.
+    order = np.lexsort((far, chain))
+    yield from _out(0, n, id=ids[order], second=seconds[order], chain=chain[order], at=far[order])
     i, j = of, there
     inner = np.flatnonzero(local & ~((below[i] == j) | ((chain[i] == chain[j]) & (far[j] <= far[i]))))
     yield from _out(1, len(inner), chain=chain[i[inner]], at=far[i[inner]], to=chain[j[inner]], least=far[j[inner]])
     outer = np.flatnonzero(~none & ~local)
-    yield from _out(2, len(outer), id=p[outer], chain=chain[i[outer]], at=far[i[outer]], tail=first[outer] & (far[i[outer]] == 0), name=pn.take(pa.array(outer)))
+    yield from _out(2, len(outer), id=p[outer], second=ps[outer], chain=chain[i[outer]], at=far[i[outer]], tail=first[outer] & (far[i[outer]] == 0))
 
 
 def _out(kind: int, n: int, **columns) -> Iterator[pa.RecordBatch]:
-    types = {"kind": pa.int8(), "id": pa.int64(), "chain": pa.int64(), "at": pa.int64(), "to": pa.int64(), "least": pa.int64(), "tail": pa.bool_(), "name": pa.binary()}
+    types = {"kind": pa.int8()} | {k: pa.int64() for k in ("id", "second", "chain", "at", "to", "least")} | {"tail": pa.bool_()}
     columns["kind"] = np.full(n, kind, np.int8)
-    arrays = [pa.nulls(n, t) if (x := columns.get(k)) is None else x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for k, t in types.items()]
+    arrays = [pa.nulls(n, t) if (x := columns.get(k)) is None else pa.array(x, t) for k, t in types.items()]
     whole = pa.RecordBatch.from_arrays(arrays, names=list(types))
     for k in range(0, n, 1 << 14):
         yield whole.slice(k, 1 << 14)
@@ -209,52 +212,64 @@ class Chains:
     What a root reaches of a chain is one position and all below it, so a root's reach is a row for each chain it meets instead of one for
     each commit. First each task cuts the edges it has into segments, without a shuffle: a history is mostly stored with commits near their
     parents. Then segments whose bottom has the top of another as first parent are joined by doubling, which moves a row for each segment.
-    Tables: ``points`` (id, name, chain, at) and ``cross`` (chain, since, until, to, least): from positions since to until (exclusive; null:
+    Names are not stored: a commit is told by two 64-bit hashes of its name, and edges are read again for the names of what is asked for.
+    Tables: ``points`` (id, second, chain, at), ``lost`` (id, node) of parents without rows, and ``cross`` (chain, since, until, to, least): from positions since to until (exclusive; null:
     the end) of a chain one gets to position ``least`` of the chain ``to`` and no higher.
     """
 
     def __init__(self, edges: DataFrame):
         self.scratch = Scratch(prepare(edges.sparkSession))
         first = F.col("ord") == 0 if "ord" in edges.columns else F.lit(True)
-        known = edges.where("child is not null").select("child", "parent", first.alias("first"))
+        self.known = edges.where("child is not null").select("child", "parent", first.alias("first"))
         self.salt = 0
-        while not self._cut(known):
+        while not self._cut(self.known):
             self.scratch.clear()
             self.salt += 1
         self._joined()
         self._crossed()
 
-    def _kept(self, df: DataFrame, name: str) -> DataFrame:
-        out = self.scratch.table(df, name)
+    def _kept(self, df: DataFrame, name: str, compression: str = "none") -> DataFrame:
+        out = self.scratch.table(df, name, compression)
         del df
         self.scratch.release()
         return out
 
-    def _id(self, c: str) -> Column:
+    def id(self, c: str) -> Column:
         return F.xxhash64(F.lit(self.salt), F.col(c))
 
+    def _twice(self, points: DataFrame) -> bool:
+        """Whether two points have one id; a part of the ids at a time."""
+        slices = -(-self.stored // SLICE_ROWS)
+        for k in range(slices):
+            if not points.where(F.pmod("id", F.lit(slices)) == k).groupBy("id").count().where("count > 1").isEmpty():
+                return True
+            self.scratch.release()
+        return False
+
     def _cut(self, known: DataFrame) -> bool:
         """Segments. False if a commit has rows in two blocks, or two names have one id: rows of a commit then have to meet, and ids are others."""
         if self.salt:
             known = known.repartition("child").sortWithinPartitions("child")
-        rows = known.select(self._id("child").alias("c"), F.when(F.col("parent").isNotNull(), self._id("parent")).alias("p"), "first", packed("child").alias("cn"), packed("parent").alias("pn"))
-        self.parts = self._kept(rows.mapInArrow(_segments, _CUT), "parts")
-        points = self.parts.where("kind = 0")
-        if not self.parts.where("kind = 3").isEmpty() or not points.groupBy("id").count().where("count > 1").isEmpty():
+        second = lambda c: F.xxhash64(F.lit(-1), F.col(c))
+        had = F.col("parent").isNotNull()
+        rows = known.select(self.id("child").alias("c"), F.when(had, self.id("parent")).alias("p"), "first", second("child").alias("cs"), F.when(had, second("parent")).alias("ps"))
+        self.parts = self._kept(rows.mapInArrow(_segments, _CUT), "parts", "zstd")
+        points = self.parts.where("kind = 0").select("id", "second", "chain", "at")
+        self.stored = points.count()
+        if not self.parts.where("kind = 3").isEmpty() or self._twice(points):
             return False
-        # Parents without a row in their block: other blocks have them, or no one. Two names of one id differ in a second hash.
-        second = F.xxhash64(F.lit(-1), F.col("name")).alias("second")
-        asked = self._kept(self.parts.where("kind = 2").select("id", second).distinct(), "asked")
-        hits = points.select("id", second.alias("own"), F.col("chain").alias("to"), F.col("at").alias("least")).join(sent(asked), "id")
+        # Parents without a row in their block: other blocks have them, or no one.
+        asked = self._kept(self.parts.where("kind = 2").select("id", "second").distinct(), "asked")
+        hits = points.select("id", F.col("second").alias("own"), F.col("chain").alias("to"), F.col("at").alias("least")).join(sent(asked), "id")
         hits = self._kept(hits, "hits")
         if not hits.where("own <> second").isEmpty() or not asked.groupBy("id").count().where("count > 1").isEmpty():
             return False
-        gone = asked.join(hits.select("id"), "id", "left_anti").select("id")
-        more = self.parts.where("kind = 2").select("id", "name").join(sent(gone), "id", "left_semi").dropDuplicates(["id"])
-        more = self._kept(more.select("id", F.col("id").alias("chain"), F.lit(0).cast("long").alias("at"), "name"), "more")
+        more = self._kept(asked.join(hits.select("id"), "id", "left_anti").select("id", "second", F.col("id").alias("chain"), F.lit(0).cast("long").alias("at")), "more")
+        self.lost = self.known.where(had).select(self.id("parent").alias("id"), F.col("parent").alias("node"))
+        self.lost = self._kept((self.lost.limit(0) if more.isEmpty() else self.lost.join(sent(more.select("id")), "id", "left_semi")).dropDuplicates(["id"]), "lost")
         ends = hits.select("id", "to", "least").unionByName(more.select("id", F.col("id").alias("to"), F.lit(0).cast("long").alias("least")))
         self.opened = self._kept(self.parts.where("kind = 2").select("id", "chain", F.col("at").alias("since"), "tail").join(sent(ends), "id"), "opened")
-        self.points = points.select("id", "chain", "at", "name").unionByName(more)
+        self.points = points.unionByName(more)
         self.scratch.drop("asked", "hits")
         return True
 
@@ -275,7 +290,7 @@ class Chains:
             few = sent(self.moves)
             self.points = self._moved(self.points, few)
             if few is self.moves:
-                self.points = self._kept(self.points, "points")
+                self.points = self._kept(self.points, "points", "zstd")
                 self.scratch.drop("more")
 
     def _moved(self, df: DataFrame, moves: DataFrame, chain: str = "chain", at: str = "at") -> DataFrame:
@@ -296,9 +311,9 @@ class Chains:
             self.scratch.drop("parts")
 
     def _located(self, names: DataFrame) -> DataFrame:
-        """names (node) that the graph has, with chain and at."""
-        asked = self._kept(names.select(self._id("node").alias("id"), packed("node").alias("name")), "names")
-        return self.points.join(sent(asked), ["id", "name"]).select(unpacked("name").alias("node"), "id", "chain", "at")
+        """names (node) that the graph has, with id, chain and at."""
+        asked = self._kept(names.select("node", self.id("node").alias("id"), F.xxhash64(F.lit(-1), F.col("node")).alias("second")), "names")
+        return self.points.join(sent(asked), ["id", "second"]).select("node", "id", "chain", "at")
 
     def _walked(self, starts: DataFrame) -> DataFrame:
         """(root, chain, at): the highest position of each chain that each root of starts (root, chain, at) leads to. A round for each crossing of chains."""
@@ -323,20 +338,42 @@ class Chains:
 
     def reachable(self, roots: DataFrame) -> DataFrame:
         roots = self._kept(roots, "roots")
-        here = self._kept(roots.join(self._located(roots.select("node").distinct()), "node"), "here")
+        here = self._kept(self._heads(roots), "here")
         best = self._walked(here.select("root", "chain", "at")).withColumnRenamed("at", "top")
-        found = self.points.join(sent(best), "chain").where("at <= top").select("root", unpacked("name").alias("node"))
+        found = self.points.join(sent(best), "chain").where("at <= top").select("root", "id")
+        names = self.known.select(self.id("child").alias("id"), F.col("child").alias("node"))
+        few = (best.agg(F.sum(F.col("top") + 1)).first()[0] or 0) + roots.count() <= SENT_ROWS
+        # Few nodes are sent to the edges, of which those that name them are left.
+        names = (names.join(F.broadcast(found.select("id").distinct()), "id", "left_semi") if few else names).groupBy("id").agg(F.first("node").alias("node"))
+        found = found.join(names.unionByName(self.lost), "id").select("root", "node")
         found = found.unionByName(roots.join(here.select("node").distinct(), "node", "left_anti").select("root", "node"))
         self.scratch.drop("cross", "names")
-        if (best.agg(F.sum(F.col("top") + 1)).first()[0] or 0) + roots.count() <= SENT_ROWS:
+        if few:
             found = self._kept(found, "reach")
             self.scratch.clear("reach")
         return found  # a large reach isn't written: its points are
 
+    def _heads(self, roots: DataFrame) -> DataFrame:
+        return roots.join(self._located(roots.select("node").distinct()), "node")
+
+    def parted(self, heads: DataFrame) -> tuple[DataFrame, bool, DataFrame]:
+        """(id) of the nodes that heads (node) lead to, or of the others if these are fewer; whether it is the first; (node) reached that have no row."""
+        heads = self._kept(heads.select(F.lit(0).alias("root"), "node").distinct(), "heads")
+        here = self._kept(self._heads(heads), "here")
+        best = self._walked(here.select("root", "chain", "at")).select("chain", F.col("at").alias("top"))
+        n = best.agg(F.sum(F.col("top") + 1)).first()[0] or 0
+        inside = 2 * n <= self.points.count()
+        side = self.points.join(sent(best), "chain", "inner" if inside else "left").where("at <= top" if inside else "top is null or at > top")
+        side = self._kept(side.select("id"), "side")
+        gone = self.lost.join(sent(side), "id", "left_semi" if inside else "left_anti").select("node")
+        gone = self._kept(gone.unionByName(heads.select("node").join(here.select("node"), "node", "left_anti")), "gone")
+        self.scratch.clear("side", "gone")
+        return side, inside, gone
+
     def tested(self, asked: DataFrame) -> DataFrame:
         asked = self._kept(asked, "asked")
         here = self._kept(self._located(asked.select(F.explode(F.array("old", "new")).alias("node")).distinct()), "here")
-        self.scratch.drop("parts", "more", "points", "names")
+        self.scratch.drop("parts", "more", "points", "names", "lost")
         new = here.select(F.col("node").alias("new"), F.col("id").alias("root"), F.col("chain").alias("own"), F.col("at").alias("top"))
         old = here.select(F.col("node").alias("old"), "chain", F.col("at").alias("low"))
         pairs = self._kept(asked.join(new, "new").join(old, "old"), "located")
@@ -346,3 +383,50 @@ class Chains:
         out = self._kept(asked.join(hit, ["old", "new"], "left").select("old", "new", ok.alias("ok")), "tested")
         self.scratch.clear("tested")
         return out
+
+
+class Reach:
+    """Which of the commits that edges hold as children can be reached from heads (hash), and what else can.
+
+    Of a large graph only one table of ids stays, of what is reached or of what isn't, whichever has fewer: commits are told by it where they lie.
+    """
+
+    def __init__(self, edges: DataFrame, heads: DataFrame, sent_edges: int = SENT_EDGES):
+        starts = heads.select(F.lit(0).alias("root"), F.col("hash").alias("node")).distinct()
+        self.edges, self.found = edges, None
+        graph = _small(edges, sent_edges)
+        if graph is None:
+            chains = Chains(edges)
+            side, self.within, self.missing = chains.parted(starts)
+            self.id, self.stored = chains.id, chains.stored
+            self.few = side.count() <= KEY_ROWS
+            self.side = side.select(F.col("id").alias("_id"))
+            self.missing = self.missing.select(F.col("node").alias("hash"))
+        else:
+            self.found = _sent_walk(edges.sparkSession, graph, starts).select(F.col("node").alias("hash"))
+            self.missing = matched(self.found, edges.where("child is not null").select(F.col("child").alias("hash")), "left_anti")
+
+    def inside(self, commits: DataFrame, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+        """Rows of stored commits that are reached, as ``then`` leaves them; that must work on any part of the rows."""
+        return self._side(commits, True, then)
+
+    def outside(self, commits: DataFrame) -> DataFrame:
+        """Rows of stored commits that are not reached."""
+        return self._side(commits, False)
+
+    def _side(self, commits: DataFrame, reached: bool, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+        if self.found is not None:
+            return matched(commits, self.found, "left_semi" if reached else "left_anti", lambda df: then(df.select(commits.columns)))
+        how = "left_semi" if reached == self.within else "left_anti"
+        rows = commits.withColumn("_id", self.id("hash"))
+        if self.few:
+            return then(rows.join(F.broadcast(self.side), "_id", how).select(commits.columns))
+        return sliced(rows, self.side, "_id", self.stored, how, lambda df: then(df.select(commits.columns)))
+
+    def hashes(self, commits: DataFrame) -> DataFrame:
+        """(hash) of all that is reached, each once; commits are those that edges were made of."""
+        if self.found is not None:
+            return self.found
+        own = commits.where("hash is not null").select("hash")
+        rows = self.inside(own)
+        return (rows if own.count() == self.stored else rows.distinct()).unionByName(self.missing)

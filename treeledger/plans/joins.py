@@ -11,8 +11,10 @@ from treeledger.plans.scratch import Scratch
 
 #: Tables of at most so many rows, counted first, are sent to all executors.
 SENT_ROWS = 200_000
+#: Keys of eight bytes are sent if there are at most so many.
+KEY_ROWS = 1_000_000
 #: Two larger ones are joined in slices of about so many rows, at most MOST_SLICES, one after another.
-SLICE_ROWS, MOST_SLICES = 2_000_000, 16
+SLICE_ROWS, MOST_SLICES = 1_000_000, 16
 
 
 def packed(c: str) -> Column:
@@ -41,12 +43,17 @@ def matched(left: DataFrame, right: DataFrame, how: str, then: Callable[[DataFra
         return then(left.join(F.broadcast(keys), "hash", how))
     if (n := left.count()) <= SENT_ROWS:
         return then(left.join(keys.join(F.broadcast(left.select("hash")), "hash", "left_semi"), "hash", how))
+    halved = lambda df: then(df.withColumn("hash", unpacked("packed")).select(left.columns))
+    return sliced(left.withColumn("packed", packed("hash")).drop("hash"), keys.select(packed("hash").alias("packed")), "packed", max(n, r), how, halved)
+
+
+def sliced(left: DataFrame, right: DataFrame, key: str, n: int, how: str, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """A join of left and right, which have n rows at most, one slice of the keys after another. What is left of each slice is written."""
     scratch, names = Scratch(left.sparkSession), []
-    slices = min(MOST_SLICES, -(-max(n, r) // SLICE_ROWS))
+    slices = min(MOST_SLICES, -(-n // SLICE_ROWS))
     for k in range(slices):
-        here = F.pmod(F.xxhash64("hash"), F.lit(slices)) == k
-        a, b = left.where(here).withColumn("packed", packed("hash")), keys.where(here).select(packed("hash").alias("packed"))
-        part = then(a.drop("hash").join(b, "packed", how).withColumn("hash", unpacked("packed")).select(left.columns))
+        here = F.pmod(F.xxhash64(key), F.lit(slices)) == k
+        part = then(left.where(here).join(right.where(here), key, how))
         names.append(f"slice-{k}")
         scratch.table(part, names[-1], "zstd")
         schema = part.schema
