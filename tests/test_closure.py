@@ -116,3 +116,23 @@ def test_marking_a_large_history_writes_no_name_of_a_commit(spark, monkeypatch,
         assert sorted(r.hash for r in reached.missing.collect()) == sorted(want - set(parents))
         assert sorted(r.hash for r in reached.hashes(commits).collect()) == sorted(want)
     assert want == set() and len(parents) < 400
+
+
+def test_shuffle_files_go_when_their_table_is_written(spark):
+    import time
+
+    from treeledger.plans.scratch import Scratch
+
+    def shuffles():
+        names = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {n for n in names.split("\n") if "/shuffle_" in n}
+
+    scratch = Scratch(spark)
+    before = shuffles()
+    table = scratch.table(spark.range(1000).repartition("id"), "dealt")
+    made = shuffles() - before
+    assert made
+    scratch.release()
+    time.sleep(1)  # the files are removed by a thread of the driver
+    assert not made & shuffles()
+    assert table.count() == 1000

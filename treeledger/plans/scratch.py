@@ -52,8 +52,9 @@ class Scratch:
     def release(self) -> None:
         """Let go of shuffle files that nothing needs any more: Spark removes them when the driver collects its garbage, which it seldom does by itself."""
         gc.collect()
-        time.sleep(0.3)  # what Python let go of is told to the JVM by a thread that looks every tenth of a second
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # one collection leaves shuffles of the job that has just ended
+            time.sleep(0.3)  # what Python let go of is told to the JVM by a thread that looks every tenth of a second
+            self.spark.sparkContext._jvm.System.gc()
 
     def clear(self, *kept: str) -> None:
         """Remove all tables but those named."""
